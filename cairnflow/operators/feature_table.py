@@ -36,23 +36,27 @@ def spelled_alike(name: str):
     return F.when(F.length(c) > 0, c)
 
 
-def type_names(events: DataFrame, kind: str) -> list[str]:
-    """The vocabulary of event types, in order; its size is checked."""
-    rows = events.select(kind).where(f"{kind} is not null").distinct().limit(MAX_TYPES + 1).collect()
-    if len(rows) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} event types")
-    return sorted(r[0] for r in rows)
+def type_names(events: DataFrame, kind: str) -> tuple[list[str], dict[str, int]]:
+    """The vocabulary of event types, in order, and each spelling's place in it; their number is checked.
 
+    Spellings are evened out once each, not once an event.
+    """
+    rows = events.select(kind).where(f"{kind} is not null").distinct().select(kind, spelled_alike(kind).alias("_t")).limit(16 * MAX_TYPES + 1).collect()
+    types = sorted({r["_t"] for r in rows if r["_t"] is not None})
+    if len(types) > MAX_TYPES or len(rows) > 16 * MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} event types, or 16 spellings of each")
+    place = {t: i for i, t in enumerate(types)}
+    return types, {r[kind]: place[r["_t"]] for r in rows if r["_t"] is not None}
 
-def sums_by_type(events: DataFrame, keys: list[str], roles: list[str], types: list[str]) -> DataFrame:
-    """events(keys, role, type, at, x) to (keys, slot, n, w, f, last); slot numbers role and type, last is in minutes."""
+
+def sums_by_type(events: DataFrame, keys: list[str], roles: list[str], types: list[str], spellings: dict[str, int]) -> DataFrame:
+    """events(keys, role, type, at, x), role a number, to (keys, slot, n, w, f, last); slot numbers role and type."""
     spark = events.sparkSession
-    numbers = spark.createDataFrame(list(zip(types, range(len(types)))) or [("", 0)], "type string, _i int")  # at most MAX_TYPES rows
+    numbers = spark.createDataFrame(list(spellings.items()) or [("", 0)], "type string, _i int")  # at most 16 * MAX_TYPES rows
     x = F.col("x")
     good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 9e15)
-    role = F.array_position(F.array(*(F.lit(r) for r in roles)), F.col("role")).cast("int") - 1
     return (
-        events.join(F.broadcast(numbers), "type", "left").withColumn("slot", F.coalesce(role * len(types) + F.col("_i"), F.lit(-1)))
+        events.join(F.broadcast(numbers), "type", "left").withColumn("slot", F.coalesce(F.col("role") * len(types) + F.col("_i"), F.lit(-1)))
         .groupBy(*keys, "slot").agg(
             F.count("*").cast("int").alias("n"),
             F.sum(F.when(good, F.floor(x).cast("long")).otherwise(0)).alias("w"),
@@ -111,30 +115,31 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bank, account, role, type, at, x): each payment once for its payer and once for its payee; at in minutes."""
     trans = table(spark, sf_dir, "hi_small_trans", "timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_paid", "amount_received", "payment_format")
     sides = F.array(
-        F.struct(F.lit("sent").alias("role"), account("from_bank").alias("bank"), account("from_account").alias("account"), F.col("amount_paid").alias("x")),
-        F.struct(F.lit("got").alias("role"), account("to_bank").alias("bank"), account("to_account").alias("account"), F.col("amount_received").alias("x")),
+        F.struct(F.lit(0).alias("role"), account("from_bank").alias("bank"), account("from_account").alias("account"), F.col("amount_paid").alias("x")),
+        F.struct(F.lit(1).alias("role"), account("to_bank").alias("bank"), account("to_account").alias("account"), F.col("amount_received").alias("x")),
     )
     at = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 60)
-    return trans.select(spelled_alike("payment_format").alias("type"), at.alias("at"), F.explode(sides).alias("s")).select("s.*", "type", "at").where("bank is not null and account is not null")
+    return trans.select(F.col("payment_format").alias("type"), at.alias("at"), F.explode(sides).alias("s")).select("s.*", "type", "at").where("bank is not null and account is not null")
 
 
-def _now(events: DataFrame) -> int:
-    return int(events.agg(F.max("at")).first()[0] or 0)
+def _vocabulary(spark: SparkSession, sf_dir: str) -> tuple[list[str], dict[str, int], int]:
+    """The formats, their spellings, and the minute of the latest payment."""
+    trans = table(spark, sf_dir, "hi_small_trans", "timestamp", "payment_format")
+    now = trans.agg(F.max("timestamp").alias("t")).select(F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 60)).first()[0]
+    return *type_names(trans, "payment_format"), int(now or 0)
 
 
 def p5_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per account: number, recency (minutes before the table's latest payment) and total per payment format and role."""
-    events = payment_events(spark, sf_dir)
-    types = type_names(events, "type")
-    return feature_table(sums_by_type(events, ["bank", "account"], ROLES, types), ["bank", "account"], column_names(ROLES, types), _now(events))
+    types, spellings, now = _vocabulary(spark, sf_dir)
+    sums = sums_by_type(payment_events(spark, sf_dir), ["bank", "account"], ROLES, types, spellings)
+    return feature_table(sums, ["bank", "account"], column_names(ROLES, types), now)
 
 
 def p5_feature_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same features as rows: one per account, role and format that occurs."""
-    events = payment_events(spark, sf_dir)
-    types = type_names(events, "type")
-    now = _now(events)
-    s = sums_by_type(events, ["bank", "account"], ROLES, types).where("slot >= 0")
+    types, spellings, now = _vocabulary(spark, sf_dir)
+    s = sums_by_type(payment_events(spark, sf_dir), ["bank", "account"], ROLES, types, spellings).where("slot >= 0")
     k = max(1, len(types))
     return s.select(
         "bank", "account", F.get(F.array(*(F.lit(r) for r in ROLES)), F.floor(F.col("slot") / k).cast("int")).alias("role"),

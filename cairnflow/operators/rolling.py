@@ -106,20 +106,25 @@ def daily(events: DataFrame, keys: dict[str, Column], time: str, amount: str, in
     )
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Sorted batches, recut so that no entity is split and none holds more than BLOCK entities' rows or one batch."""
-    rest: pa.Table | None = None
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Sorted batches, recut so that no entity is split; each block comes from at least so many rows, but the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        if t.num_rows == 0:
+        if b.num_rows == 0:
             continue
-        rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-        starts = _starts(rest, keys)
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        starts = _starts(t, keys)
         if len(starts) > 1:
-            yield rest.slice(0, int(starts[-1]))
-            rest = rest.slice(int(starts[-1])).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield rest
+            yield t.slice(0, int(starts[-1]))
+            held = t.slice(int(starts[-1])).combine_chunks().to_batches()
+            rows = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
