@@ -25,7 +25,7 @@ from ..session import parallelism, table
 from .rolling import _blocks, _starts, account
 
 #: Entities in one dense block.
-BLOCK = 256
+BLOCK = 512
 #: More types than this are no vocabulary; the table would have too many columns for one row per entity.
 MAX_TYPES = 2_000
 
