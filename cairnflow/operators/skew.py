@@ -8,7 +8,8 @@ to one of its shards; the matching side of a heavy key is replicated to just the
 task, records meet their matching row by one sort, and per-key results come from merging the shards' partial results.
 
 Defined cases. Null keys match nothing and form no key. Keys without a matching row keep nulls on that side. Several
-matching rows for a key: the caller must reduce them to one. Repeated records each count. Ties in load are packed by
+matching rows for a key: the caller must reduce them to one. A column that stands on both sides keeps its name on the
+record's side and gets the ending _match on the other. Repeated records each count. Ties in load are packed by
 name, so plans are the same every time. Empty input: empty result.
 """
 
@@ -100,13 +101,13 @@ def _placed(df: DataFrame, keys: list[str], plan: Plan, replicate: bool) -> Data
 def fragment_replicate(records: DataFrame, match: DataFrame, keys: list[str], tasks: int | None = None, loads: DataFrame | None = None) -> DataFrame:
     """records with the columns of their matching row, and `task`; no task gets much more than its share of records.
 
-    match has one row per key. Its columns other than the keys must not clash with those of records.
+    match has one row per key. A `task` column of the caller is overwritten.
     """
+    records, match = records.drop("task"), match.drop("task")
+    match = match.select(*keys, *(F.col(c).alias(f"{c}_match" if c in records.columns else c) for c in match.columns if c not in keys))
     tasks = tasks or max(2 * parallelism(records.sparkSession), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plan = plan_tasks(loads if loads is not None else load_by_key(records, keys), keys, tasks)
     mine, theirs = [c for c in records.columns if c not in keys], [c for c in match.columns if c not in keys]
-    if set(mine) & set(theirs):
-        raise ValueError(f"columns on both sides: {sorted(set(mine) & set(theirs))}")
     some = " and ".join(f"{k} is not null" for k in keys)
     left = _placed(records.where(some), keys, plan, False).withColumn("_side", F.lit(1))
     right = _placed(match.where(some), keys, plan, True).withColumn("_side", F.lit(0))

@@ -574,3 +574,72 @@ def alert_top_features(spark: SparkSession, d: str) -> DataFrame:
     t = txn(spark, d).where("batch_id = 38")
     contrib = {"amount": F.col("amount") / 1e5, "discount": F.col("discount") * 10 - 0.5, "quantity": F.col("quantity") / 50, "tax": 0.5 - F.col("tax") * 10}
     return t.select(*KEY, R.top_features(contrib).alias("top_features"))
+
+
+# -- models: no SQL says what they learn, so their rows only are checked, and their properties in the tests ---------------
+
+MODEL_FEATURES = ["amount", "quantity", "discount", "tax", "dst_fan", "dst_degree", "src_fan", "src_degree"]
+
+
+def model_rows(spark: SparkSession, d: str) -> DataFrame:
+    from ..models import sage
+
+    t = txn(spark, d)
+    return sage.causal_edge_inputs(t, G.cumulative_counts(t, "dst", "src"), G.cumulative_counts(t, "src", "dst"), KEY)
+
+
+@query("gbt_scores")
+def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Test batches scored by boosted trees fitted on train, their number chosen on validation."""
+    from ..models import trees
+
+    rows = S.split_temporal(model_rows(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES[:4])
+    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES[:4], n_trees=10)
+    return m.transform(rows.where("part = 'test'")).select(*KEY, "batch_id", "y", F.col("p").alias("proba"))
+
+
+@query("tree_contributions")
+def tree_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """What moved the scores of one batch, by exact path contributions."""
+    from ..models import trees
+
+    rows = S.split_temporal(txn(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES[:4])
+    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES[:4], n_trees=5)
+    return m.explain(rows.where("batch_id = 38")).select(*KEY, "base", "logit", "contributions", "top_features")
+
+
+@query("sage_lite_scores")
+def sage_lite_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Test batches scored by the message-passing approximation on edges."""
+    from ..models import sage
+
+    rows = S.split_temporal(model_rows(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES)
+    m = sage.fit(rows.where("part = 'train'"), MODEL_FEATURES)
+    return sage.score(m, rows.where("part = 'test'"), MODEL_FEATURES).select(*KEY, "batch_id", "y", F.col("p").alias("proba"))
+
+
+@query("probe_auc")
+def probe_auc(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-validated AUC inside each event window."""
+    from ..models import trees
+
+    t = txn(spark, d).where((F.col("y") >= 0) & F.col("batch_id").between(*TEST)).select(*KEY, "batch_id", "y", *FEATURES)
+    out = [(w, trees.probe_auc(t.where(c), KEY, FEATURES, n_trees=3)) for w, c in (("before", f"batch_id < {EVENT}"), ("after", f"batch_id >= {EVENT}"))]
+    return spark.createDataFrame(out, "window string, probe_roc_auc double")
+
+
+@query("streaming_daily_scores", """SELECT CAST(date_trunc('day', ts) AS DATE) AS day, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def streaming_daily_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sums per user by the stream plan, run to the end of what there is."""
+    from ..streaming.daily import daily_totals, run_available
+
+    return rnd(run_available(daily_totals, spark, f"{d}/events.parquet"), total=4)
+
+
+@query("streaming_causal_counts", """SELECT user_id, edge_time, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY edge_time) AS BIGINT) AS degree FROM
+(SELECT user_id, date_diff('day', (SELECT CAST(min(ts) AS DATE) FROM events), CAST(ts AS DATE)) AS edge_time, count(*) AS n FROM events GROUP BY ALL)""")
+def streaming_causal_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The forward-only driver: batches in order, each inserted and then scored against all so far."""
+    from ..streaming.forward import replay_counts
+
+    return replay_counts(spark, d)
