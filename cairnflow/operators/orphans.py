@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +92,6 @@ def probe(parents: DataFrame, refs: DataFrame, ranges: int | None = None) -> Dat
 
 def _search(edges: list[int]):
     """The range of a key among many edges, by binary search in a vectorised function."""
-    import pandas as pd
-
     bounds = np.array(edges, dtype=np.int64)
 
     @F.pandas_udf("int")
