@@ -210,6 +210,63 @@ def p2_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_totals(per_day, ["bank", "account"], first, last)
 
 
+# -- trees kept as a table, so that late records can be taken in without reading the rest again -------------------------
+
+LEVELS = SHARD_DAYS.bit_length()
+
+
+def tree_nodes(per_day: DataFrame, keys: list[str], late: bool = False) -> DataFrame:
+    """(keys, shard, level, node, w, f, n): the nodes above every day an entity has, of its on-time or of its late records.
+
+    Nodes without records are not kept. Days count from 1970, so shards are the same for every table.
+    """
+    p = "late_" if late else ""
+    leaves = per_day.where(f"{p}n > 0").select(*keys, F.floor(F.col("day") / SHARD_DAYS).cast("int").alias("shard"), F.pmod("day", F.lit(SHARD_DAYS)).cast("int").alias("_d"), *(F.col(p + x).alias(x) for x in PARTS))
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    up = leaves.select("*", level).withColumn("node", F.floor(F.col("_d") / F.pow(F.lit(2), F.col("level"))).cast("int"))
+    return up.groupBy(*keys, "shard", "level", "node").agg(*(F.sum(x).alias(x) for x in PARTS))
+
+
+def correct_nodes(nodes: DataFrame, keys: list[str], corrections: DataFrame) -> DataFrame:
+    """nodes with corrections (nodes of the same form) added: only leaves with late records and their ancestors change."""
+    at = [*keys, "shard", "level", "node"]
+    add = corrections.select(*at, *(F.col(x).alias(f"_{x}") for x in PARTS))
+    return nodes.join(add, at, "full_outer").select(*at, *((F.coalesce(x, F.lit(0)) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in PARTS), F.col("_n").isNotNull().alias("corrected"))
+
+
+def range_totals(nodes: DataFrame, keys: list[str], asks: DataFrame, period: int) -> DataFrame:
+    """asks(keys, day) with (total, n) over the period ending that day, each from the few nodes that cover it."""
+    if period > SHARD_DAYS:
+        raise ValueError(f"periods are at most {SHARD_DAYS} days, the length of a shard")
+    cover = []
+    for d in range(SHARD_DAYS):  # the nodes are the same for every shard, so they are a literal of SHARD_DAYS entries
+        own = [(0, k, i) for k, i in Forest.cover(max(0, d - period + 1), d)]
+        back = [(1, k, i) for k, i in Forest.cover(SHARD_DAYS + d - period + 1, SHARD_DAYS - 1)] if d - period + 1 < 0 else []
+        cover.append(F.array(*(F.struct(F.lit(b).alias("back"), F.lit(k).alias("level"), F.lit(i).alias("node")) for b, k, i in own + back)))
+    a = asks.select(*keys, "day", F.explode(F.get(F.array(*cover), F.pmod("day", F.lit(SHARD_DAYS)).cast("int"))).alias("_c"))
+    a = a.select(*keys, "day", (F.floor(F.col("day") / SHARD_DAYS) - F.col("_c.back")).cast("int").alias("shard"), "_c.level", "_c.node")
+    got = a.join(nodes, [*keys, "shard", "level", "node"], "left").groupBy(*keys, "day").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in PARTS))
+    return got.select(*keys, "day", (F.col("w") + F.col("f") / 1e8).alias("total"), "n")
+
+
+def p2_corrected_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of on-time payments with the late ones taken in; `corrected` marks the nodes that changed."""
+    per_day = daily(_trans(spark, sf_dir), {"bank": account("from_bank"), "account": account("from_account")}, "timestamp", "amount_paid", "ingested_at")
+    keys = ["bank", "account"]
+    return correct_nodes(tree_nodes(per_day, keys), keys, tree_nodes(per_day, keys, late=True))
+
+
+P2_TREES_SQL = """
+WITH e AS (
+  SELECT upper(trim(from_bank)) AS bank, upper(trim(from_account)) AS account, date_diff('day', DATE '1970-01-01', CAST("timestamp" AS DATE)) AS d, amount_paid AS x,
+    coalesce(CAST(ingested_at AS DATE) > CAST("timestamp" AS DATE), false) AS late
+  FROM hi_small_trans WHERE trim(from_bank) <> '' AND trim(from_account) <> '' AND "timestamp" IS NOT NULL AND amount_paid IS NOT NULL
+)
+SELECT bank, account, CAST(d // 64 AS INTEGER) AS shard, level, CAST((d % 64) // (1 << level) AS INTEGER) AS node,
+  CAST(sum(CAST(floor(x) AS BIGINT)) AS BIGINT) AS w, CAST(sum(CAST(round((x - floor(x)) * 1e8) AS BIGINT)) AS BIGINT) AS f, count(*) AS n, bool_or(late) AS corrected
+FROM e, (SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS level) GROUP BY ALL
+"""
+
 P2_SQL = """
 WITH e AS (
   SELECT upper(trim(from_bank)) AS bank, upper(trim(from_account)) AS account, CAST("timestamp" AS DATE) AS d, amount_paid AS x
@@ -230,5 +287,5 @@ WITH e AS (
 SELECT *, total_7d / nullif(n_7d, 0) AS avg_7d, total_30d / nullif(n_30d, 0) AS avg_30d FROM t
 """
 
-ORACLE = {"p2_rolling_totals": P2_SQL}
-QUERIES = {"p2_rolling_totals": p2_rolling_totals}
+ORACLE = {"p2_rolling_totals": P2_SQL, "p2_corrected_trees": P2_TREES_SQL}
+QUERIES = {"p2_rolling_totals": p2_rolling_totals, "p2_corrected_trees": p2_corrected_trees}

@@ -55,3 +55,18 @@ def test_cover_is_exact():
 
 def test_empty(spark):
     assert run(spark, [], 0, 3) == {}
+
+
+def test_tree_table_answers_ranges_across_shards(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("1", "a", t0 + dt.timedelta(days=i), float(i), t0 + dt.timedelta(days=i + (i % 5 == 0)), "x") for i in range(0, 140, 2)]
+    d = L.daily(spark.createDataFrame(rows, SCHEMA), {"k": L.account("acct")}, "ts", "x", "seen")
+    nodes = L.correct_nodes(L.tree_nodes(d, ["k"]), ["k"], L.tree_nodes(d, ["k"], late=True))
+    first = int((np.datetime64("2024-01-01") - L.EPOCH).astype(int))
+    asks = spark.range(140).select(F.lit("A").alias("k"), (F.col("id") + first).alias("day"))
+    for period in (1, 7, 30, 64):
+        for r in L.range_totals(nodes, ["k"], asks, period).collect():
+            i = r["day"] - first
+            xs = [x for x in range(0, 140, 2) if i - period < x <= i]
+            assert r["n"] == len(xs) and abs(r["total"] - sum(xs)) < 1e-9
+    assert 0 < nodes.where("corrected").count() < nodes.count()
