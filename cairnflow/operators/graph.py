@@ -113,30 +113,30 @@ def scatter_gather(edges: DataFrame, w: int) -> DataFrame:
 
 
 def _cycle_rows(edges: DataFrame, w: int, longest: int, each: bool) -> DataFrame:
-    """(a, b, t, n): cycles of n accounts through each distinct edge a -> b at t; one row each, or one per length."""
+    """(a, b, t, n): cycles of n accounts through each distinct edge a -> b at t; one row each, or one per length.
+
+    Paths grow edge by edge, as joins on the last account and time bucket; the work grows with the density to the power
+    of the length, so long bounds are for sparse graphs.
+    """
+    if not 2 <= longest <= 10:
+        raise ValueError("cycles have 2 to 10 accounts")
     e = edges.where("src <> dst").select("src", "dst", "edge_time").distinct()
-    at = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_time").alias("t")).withColumn("_b", F.floor(F.col("t") / w))
-    found = []
-    step = at
-    last = "b"
-    for k, x in enumerate(("c", "d", "e")[: longest - 1]):
-        hop = _near(e, w, {"src": last, "dst": "x", "edge_time": "t1"})
-        seen = [F.col(n) for n in ("b", "c", "d")[: k + 1]]
-        nxt = step.join(hop, [last, "_b"]).where(_within(F.col("t"), F.col("t1"), w)).drop("t1")
-        closed = nxt.where("x = a").drop("x", "_b").distinct()
-        found.append((closed if each else closed.select("a", "b", "t").distinct()).select("a", "b", "t", F.lit(k + 2).alias("n")))
-        step = nxt.where((F.col("x") != F.col("a")) & ~F.array_contains(F.array(*seen), F.col("x"))).withColumnRenamed("x", x).distinct()
-        last = x
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_time").alias("t"), F.floor(F.col("edge_time") / w).alias("_b"), F.col("dst").alias("_last"), F.array("dst").alias("_path"))
+    hop = _near(e, w, {"src": "_last", "dst": "_x", "edge_time": "_t1"})
+    out = None
+    for n in range(2, longest + 1):
+        nxt = step.join(hop, ["_last", "_b"]).where(_within(F.col("t"), F.col("_t1"), w)).drop("_t1", "_last")
+        closed = nxt.where("_x = a").select("a", "b", "t", "_path").distinct()
+        rows = (closed if each else closed.select("a", "b", "t").distinct()).select("a", "b", "t", F.lit(n).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+        step = nxt.where((F.col("_x") != F.col("a")) & ~F.array_contains("_path", F.col("_x"))).select("a", "b", "t", "_b", F.col("_x").alias("_last"), F.concat("_path", F.array("_x")).alias("_path")).distinct()
     return out
 
 
 def cycles(edges: DataFrame, w: int, longest: int = 4) -> DataFrame:
-    """Per distinct edge: simple cycles of 2..longest (at most 4) accounts through it, all edges in the window, by length bin."""
+    """Per distinct edge: simple cycles of 2..longest accounts through it, all edges in the window, by length bin."""
     found = _cycle_rows(edges, w, longest, True)
-    bins = [b for b in BINS if b <= 4]
+    bins = [b for i, b in enumerate(BINS) if i == 0 or BINS[i - 1] < longest]
     return found.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("edge_time")).agg(*(F.count_if(bin_of(F.col("n")) == k).alias(f"lc_cycle_bin{k}") for k in bins))
 
 

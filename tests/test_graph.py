@@ -30,6 +30,13 @@ def test_stars_and_cycle_light_their_own_blocks(spark):
     assert [r["lc_cycle_bin4"] for r in G.cycles(ring, 1).collect()] == [1, 1, 1] and G.scatter_gather(ring, 1).count() == 0
 
 
+def test_long_cycles(spark):
+    ring = edges(spark, [(i, (i + 1) % 6, 1) for i in range(6)] + [(3, 1, 1)])
+    got = {(r["src"], r["dst"]): (r["lc_cycle_bin4"], r["lc_cycle_bin8"]) for r in G.cycles(ring, 1, 6).collect()}
+    assert got[0, 1] == (0, 1) and got[1, 2] == (1, 1) and got[3, 1] == (1, 0)
+    assert {r["src"]: r["closes_6"] for r in G.cycle_lengths(ring, 1, 6).collect()}[0] == 1
+
+
 def test_window_and_cumulative(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)])
     assert at(G.windowed_counts(e, "dst", "src", 1), edge_time=2)[0]["fan"] == 2
