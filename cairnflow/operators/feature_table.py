@@ -6,8 +6,8 @@ in blocks, each (entity, type) is one index into a dense block, counts and sums
 latest times by maximum, and the block leaves as Arrow feature columns: one row per entity, three columns per type and role.
 
 Defined cases. Null entity: no row. Null type: counted in no column, but the entity still has its row. Null amount: the
-event counts and is recent, and adds nothing. Null time: no recency. An entity without events of a type has nulls in the
-type's columns, as a pivot gives. Repeated rows count as often as they stand. Empty table: no rows, no feature columns.
+event counts and is recent, and adds nothing. Null time: no recency. As SQL aggregates have it, an entity without events
+of a type has number 0 and a null total and recency. Repeated rows count as often as they stand. Empty table: no rows, no feature columns.
 """
 
 from __future__ import annotations
@@ -72,9 +72,13 @@ def column_names(roles: list[str], types: list[str]) -> list[str]:
     return [f"{r}_{s}" for r in roles for s in slug]
 
 
-def _columns(dense: np.ndarray, there: np.ndarray, kind: pa.DataType) -> list[pa.Array]:
-    """The rows of a dense block as Arrow columns over its own memory, null where nothing is there."""
+def _columns(dense: np.ndarray, there: np.ndarray | None, kind: pa.DataType) -> list[pa.Array]:
+    """The rows of a dense block as Arrow columns over its own memory, null where nothing is there; None: no nulls."""
     width, m = dense.shape
+    if there is None:
+        data = pa.py_buffer(np.ascontiguousarray(dense))
+        size = dense.itemsize * m
+        return [pa.Array.from_buffers(kind, m, [None, data.slice(j * size, size)], 0) for j in range(width)]
     bits = np.packbits(there, axis=1, bitorder="little")
     step, size = bits.shape[1], dense.itemsize * m
     valid, data = pa.py_buffer(bits), pa.py_buffer(np.ascontiguousarray(dense))
@@ -111,7 +115,7 @@ def feature_table(sums: DataFrame, keys: list[str], names: list[str], now: int,
                 take = pa.array(starts[at : at + m])
                 head = [c.combine_chunks() if isinstance(c := t.column(k).take(take), pa.ChunkedArray) else c for k in keys]
                 there, aged = number > 0, (number > 0) & (latest >= 0)
-                three = [_columns(x, ok, kind) for x, ok, kind in ((number, there, pa.int32()), (age, aged, pa.int32()), (total, there, pa.float64()))]
+                three = [_columns(x, ok, kind) for x, ok, kind in ((number, None, pa.int32()), (age, aged, pa.int32()), (total, there, pa.float64()))]
                 cols = [c for row in zip(*three) for c in row]
                 yield pa.RecordBatch.from_arrays([*head, *cols], names=labels)
 
