@@ -23,10 +23,11 @@ import heapq
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 
 # Words for currencies, by code.
 CURRENCY_WORDS = {
@@ -71,8 +72,9 @@ MIN_LINKS = 3
 SNAP = 0.02
 #: Sources are spellings and feeds, not records; more than this many means the texts are not unit statements.
 MAX_SOURCES = 200_000
-#: Links of a source that are looked at, strongest first.
-PARTNERS = 64
+#: Pairs of sources that agree with known conversions, all of which the driver holds as numbers; more than this many
+#: raises, and none is left out.
+MAX_PAIRS = 5_000_000
 
 
 # How notes of feeds speak of units; only read for sources that too few records link.
@@ -247,28 +249,33 @@ def source_graph(stated: DataFrame, feeds: DataFrame, units: DataFrame) -> DataF
     # whole units under their usual name, in a feed whose note is silent, are the fixed points
     notes = _notes(feeds)
     silent = {f for f, note in notes.items() if not note}
-    anchors = {
-        r["source"]: math.log10(usd[read[r["source"]][0]])
+    anchors = [
+        r["source"]
         for r in rows
         if r["source"].startswith("T|") and (r["text"] or "").lower() in names and read[r["source"]][0] in usd and read[r["source"]][1] == 0
         and (not silent or r["source"].split("|")[1] in silent)
-    }
-    pairs = pair_estimates(links(stated))
-    both_ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("scale10")).alias("scale10"), "links", "offset"))
-    # the strongest links of each source carry the estimates; this bounds what the driver sees by the number of sources
-    strong = both_ways.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("links"), "u"))).where(F.col("_r") <= PARTNERS)
-    edges: dict[str, list[tuple[str, float, int]]] = {}
-    offsets: dict[str, float] = {}
-    for e in strong.collect():
-        edges.setdefault(e["u"], []).append((e["v"], e["scale10"], int(e["links"])))
-        if e["_r"] == 1:
-            offsets[e["v"]] = e["offset"]
-    known = _propagate(anchors, edges, {s: c for s, (c, _p) in read.items()}, usd)
+    ]
+    # every pair counts, weak ones too: those through the few feeds that hold fixed points are often the weakest
+    order = sorted(read)
+    number = {s: i for i, s in enumerate(order)}
+    worth = [math.log10(usd[read[s][0]]) if read[s][0] in usd else None for s in order]
+    pairs = cut(pair_estimates(links(stated)))
+    turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "links", "offset")
+    strongest = pairs.select("u", "v", "links", "offset").unionByName(turned).groupBy("v").agg(F.min_by("offset", F.struct(-F.col("links"), F.col("u"))).alias("offset"))
+    offsets = {r["v"]: r["offset"] for r in strongest.collect()}  # one row per source
+    # powers of ten by which v's number exceeds u's: whole, whatever u turns out to be, or the pair leads to no known conversion
+    at = spark.createDataFrame([(s, number[s], x) for s, x in zip(order, worth) if x is not None], "source string, id int, worth double")
+    ends = [F.broadcast(at.select(F.col("source").alias(c), F.col("id").alias(f"_{c}"), F.col("worth").alias(f"_{c}w"))) for c in ("u", "v")]
+    step = F.col("_vw") - F.col("_uw") - F.col("scale10")
+    snapped = pairs.join(ends[0], "u").join(ends[1], "v").where(F.abs(step - F.round(step)) <= SNAP).select("_u", "_v", F.round(step).cast("int").alias("step"), "links")
+    got = snapped.limit(MAX_PAIRS + 1).toArrow()
+    if got.num_rows > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} linked pairs of sources: the currency texts or memos state no units")
+    known = {order[i]: k for i, k in _propagate({number[s] for s in anchors}, len(order), *(c.to_numpy() for c in got.columns)).items()}
     out, same_code, votes = [], {}, {}
     for r in rows:
         s, (code, said) = r["source"], read[r["source"]]
-        x, n = known.get(s, (None, 0))
-        power = int(round(math.log10(usd[code]) - x)) if x is not None else None
+        power, n = known.get(s, (None, 0))
         out.append((s, r["regime"], r["text"], code, power, said, n))
         if power is not None and s.startswith("T|") and said == 0:
             if n >= MIN_LINKS:
@@ -294,36 +301,38 @@ def source_graph(stated: DataFrame, feeds: DataFrame, units: DataFrame) -> DataF
     return spark.createDataFrame(final, "source string, regime string, text string, code string, power int, log_usd double, links long, estimated boolean, offset double, said int")
 
 
-def _propagate(anchors: dict[str, float], edges: dict[str, list[tuple[str, float, int]]], codes: dict[str, str | None], usd: dict[str, float]) -> dict[str, tuple[float, int]]:
-    """log10(dollars per number) and support of each source, strongest support first.
+def _propagate(anchors: set[int], size: int, u: np.ndarray, v: np.ndarray, step: np.ndarray, links: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Power and support of each source that pairs lead to from the anchors, which have power 0; strongest support first.
 
-    A value of v is worth 10 ** scale10 values of u. A link counts for as much as the support of the source it starts
-    from. Links that lead to no known conversion of the source's currency are left out; the others settle on it exactly.
+    The power of v is that of u and the step; a pair leads both ways. A link counts for as much as the support of the
+    source it starts from. Sources are numbered 0 to size.
     """
-    known = {s: (x, 1 << 40) for s, x in anchors.items()}
-    votes: dict[str, dict[float, int]] = {}
-    heap: list[tuple[int, str, float]] = []
+    start = np.concatenate([u, v])
+    by = np.argsort(start, kind="stable")
+    at = np.searchsorted(start[by], np.arange(size + 1))
+    to, steps, weight = np.concatenate([v, u])[by], np.concatenate([step, -step])[by], np.concatenate([links, links])[by]
+    known = {s: (0, 1 << 40) for s in anchors}
+    votes: dict[int, dict[int, int]] = {}
+    heap: list[tuple[int, int, int]] = []
     fresh = sorted(known)
     while True:
-        for u in fresh:
-            at, width = known[u]
-            for v, scale, n in edges.get(u, ()):
-                code = codes.get(v)
-                if v in known or code not in usd:
+        for s in fresh:
+            power, width = known[s]
+            near = slice(at[s], at[s + 1])
+            for t, d, n in zip(to[near].tolist(), steps[near].tolist(), weight[near].tolist()):
+                if t in known:
                     continue
-                power = math.log10(usd[code]) - (at + scale)
-                if abs(power - round(power)) > SNAP:
-                    continue
-                x = math.log10(usd[code]) - round(power)
-                votes.setdefault(v, {})[x] = votes.setdefault(v, {}).get(x, 0) + min(n, width)
-                heapq.heappush(heap, (-votes[v][x], v, x))
+                k = power + d
+                got = votes.setdefault(t, {})
+                got[k] = got.get(k, 0) + min(n, width)
+                heapq.heappush(heap, (-got[k], t, -k))
         while heap and heap[0][1] in known:
             heapq.heappop(heap)
         if not heap:
             return known
-        n, v, x = heapq.heappop(heap)
-        known[v] = (x, -n)
-        fresh = [v]
+        n, t, k = heapq.heappop(heap)
+        known[t] = (-k, -n)
+        fresh = [t]
 
 
 def _notes(feeds: DataFrame) -> dict[str, str]:

@@ -68,6 +68,25 @@ def test_links_find_a_silent_scale(spark):
     assert g["T|9||p|US Dollar"]["power"] == -3 and g["T|9||r|US Dollar"]["power"] == 0
 
 
+def test_weak_links_to_anchors_count_beside_many_strong_ones(spark):
+    # 70 partners that settle nothing have more links each than the only fixed point has; feed 9 pays in millions, not as its note says
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [(1.0, f"lunch {i % 70}", 5.0, "US Dollar", 9) for i in range(280)] + [(None, None, 3.0 + i, "US Dollar", 9) for i in range(3)]
+    rows += [(None, None, (3.0 + i) * 1e6, "US Dollar", 1) for i in range(3)]
+    full = [(i, t0 + dt.timedelta(minutes=i - 3 * (i >= 283)), "1", "A", "2", "B", *r, None, "clash") for i, r in enumerate(rows)]
+    _, feeds, units = tables(spark, [])
+    trans = spark.createDataFrame(full, TRANS)
+    g = {r["source"]: r for r in U.source_graph(U.statements(trans, feeds), feeds, units).collect()}
+    assert g["T|9||p|US Dollar"]["power"] == -6 and g["T|9||p|US Dollar"]["estimated"] and g["T|9||p|US Dollar"]["links"] == 3
+
+
+def test_too_many_pairs_raise(spark, monkeypatch):
+    trans, feeds, units = tables(spark, [(5.0, "US Dollar", 5.0, x, 1, None) for x in ("USD", "Usd", "usd", "us dollar", "US dollar")])
+    monkeypatch.setattr(U, "MAX_PAIRS", 4)
+    with pytest.raises(ValueError, match="pairs"):
+        U.source_graph(U.statements(trans, feeds), feeds, units)
+
+
 def test_empty(spark):
     trans, feeds, units = tables(spark, [])
     assert U.harmonise(trans, feeds, units).count() == 0
