@@ -229,6 +229,12 @@ def components_illicit(spark: SparkSession, d: str) -> DataFrame:
     return G.components(txn(spark, d).where("y = 1 and batch_id = 48").select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
+@query("components_illicit_all")
+def components_illicit_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all illicit edges; the recursive SQL above holds every pair of connected accounts, so it stays on one batch."""
+    return G.components(txn(spark, d).where("y = 1").select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
 @query("induced_subgraph_pairs", TXN_SQL + """, a AS (SELECT DISTINCT src AS node FROM txn WHERE y = 1 AND batch_id >= 43)
 SELECT src, dst, bool_or(y = 1) AS any_bad, bool_and(y = 1) AS all_bad FROM txn WHERE src <> dst AND src IN (SELECT node FROM a) AND dst IN (SELECT node FROM a) GROUP BY src, dst""")
 def induced_subgraph_pairs(spark: SparkSession, d: str) -> DataFrame:

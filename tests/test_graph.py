@@ -78,6 +78,26 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(21)) and all(got[i] == 21 for i in range(21, 41)) and got[50] == 50
 
 
+def test_components_of_all_illicit_edges(spark, sf_dir):
+    import __spark_entry__ as entry
+    from cairnflow.plans.txn import txn
+
+    rows = txn(spark, sf_dir).where("y = 1").select("src", "dst", "batch_id").collect()
+    assert len({r["batch_id"] for r in rows}) > 1
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        a, b = sorted((find(r["src"]), find(r["dst"])))
+        root[b] = a  # the least node stays on top
+    got = {r["node"]: r["component"] for r in entry.queries()["components_illicit_all"](spark, sf_dir).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_temporal_neighbours(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 2), (3, 0, 2), (4, 0, 5)])
     got = [(r["edge_time"], r["k"], r["neighbour"]) for r in G.temporal_neighbours(e, 2, ["edge"]).orderBy("edge_time", "k").collect()]
