@@ -204,6 +204,17 @@ def cycle_counts_w7(spark: SparkSession, d: str) -> DataFrame:
     return G.cycles(txn(spark, d), W)
 
 
+@query("cycles_w7_to10")
+def cycles_w7_to10(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each edge closes a cycle of each length from 2 to 10 accounts within the window."""
+    return G.cycle_lengths(txn(spark, d), W, 10)
+
+
+@query("cycle_counts_w7_to10")
+def cycle_counts_w7_to10(spark: SparkSession, d: str) -> DataFrame:
+    return G.cycles(txn(spark, d), W, 10)
+
+
 _NODES = ", nodes AS (SELECT o_orderkey % 1000 AS node, 0 AS x, max(CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)) AS node_time FROM orders GROUP BY ALL)"
 
 

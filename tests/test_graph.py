@@ -37,6 +37,57 @@ def test_long_cycles(spark):
     assert {r["src"]: r["closes_6"] for r in G.cycle_lengths(ring, 1, 6).collect()}[0] == 1
 
 
+def brute_cycles(rows, w, longest):
+    """{(src, dst, edge_time): {length: simple cycles through the edge}} by walking every path."""
+    e = {r for r in rows if r[0] != r[1]}
+    out = {}
+
+    def walk(a, t, path, hops, got):
+        for x in hops.get(path[-1], ()):
+            if x == a:
+                got[len(path) + 1] = got.get(len(path) + 1, 0) + 1
+            elif x not in path and len(path) + 1 < longest:
+                walk(a, t, [*path, x], hops, got)
+
+    for a, b, t in e:
+        hops = {}
+        for x, y, t1 in e:
+            if t - w < t1 <= t:
+                hops.setdefault(x, set()).add(y)
+        got = {}
+        walk(a, t, [b], hops, got)
+        if got:
+            out[a, b, t] = got
+    return out
+
+
+def test_cycles_to_ten_by_brute_force(spark):
+    import random
+
+    from cairnflow.config import Features
+
+    rnd = random.Random(3)
+    rows = [(i, (i + 1) % 10, i) for i in range(10)] + [(10 + i, 10 + (i + 1) % 11, 20) for i in range(11)]  # a ring of 10, and one of 11 that is too long
+    rows += [(rnd.randrange(12), rnd.randrange(12), 40 + rnd.randrange(12)) for _ in range(40)]
+    want = brute_cycles(rows, 10, 10)
+    assert {n for got in want.values() for n in got} >= {2, 3, 4, 5, 6, 10}
+    longest = Features().cycle_len
+    bins = {r: tuple(sum(k for n, k in got.items() if lo < n <= hi) for lo, hi in ((1, 2), (2, 4), (4, 8), (8, 16))) for r, got in want.items()}
+    got = G.cycles(edges(spark, rows), 10, longest).collect()
+    assert {(r["src"], r["dst"], r["edge_time"]): tuple(r[f"lc_cycle_bin{b}"] for b in (2, 4, 8, 16)) for r in got} == bins
+    flags = {(r["src"], r["dst"], r["edge_time"]): {n for n in range(2, 11) if r[f"closes_{n}"]} for r in G.cycle_lengths(edges(spark, rows), 10, 10).collect()}
+    assert flags == {r: set(k) for r, k in want.items()}
+
+
+def test_cycle_queries_to_ten_on_tables(spark, sf_dir):
+    import __spark_entry__ as entry
+    from cairnflow.plans.txn import txn
+
+    want = brute_cycles([tuple(r) for r in txn(spark, sf_dir).where("edge_time < 60").select("src", "dst", "edge_time").collect()], 7, 10)
+    got = {(r["src"], r["dst"], r["edge_time"]): sum(r[f"lc_cycle_bin{b}"] for b in (2, 4, 8, 16)) for r in entry.queries()["cycle_counts_w7_to10"](spark, sf_dir).where("edge_time < 60").collect()}
+    assert got == {r: sum(k.values()) for r, k in want.items()}
+
+
 def test_window_and_cumulative(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)])
     assert at(G.windowed_counts(e, "dst", "src", 1), edge_time=2)[0]["fan"] == 2
