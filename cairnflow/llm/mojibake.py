@@ -10,8 +10,8 @@ were read as) is scored:
 * one single-byte encoding read as another: every word with characters outside ASCII is a candidate.
 
 The gain of a chain is the log likelihood of what it restores less that of what stands, over the places it improves.
-The likeliest chain is accepted beyond a margin, which is validated on clean records held out from the model's checks:
-it exceeds any gain seen there. Damage may cover the whole text or some places; only those are restored. Replacement
+The likeliest chain is accepted beyond a margin, which is validated on all clean records, each under a model of the
+parts of the records that hold neither it nor its repeats: it exceeds any gain seen there. Damage may cover the whole text or some places; only those are restored. Replacement
 characters and control characters left by a decoder mark a text, though nothing restores what they stand for.
 
 Defined cases. Null or empty text: no row. Text in ASCII only: never found. Long texts are read whole. Repeated rows
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -41,8 +41,8 @@ SIZE = AT_UNI + UNI
 SEEN = 3
 #: Words at least this likely per character are not tried as single-byte damage.
 FINE = -2.5
-#: Clean records the margin is validated on; a bounded sample, as the margin is a single number.
-VALIDATE_ROWS = 4_000
+#: Parts of the records, by hash of the text. All clean records validate the margin, each by a model of the other parts.
+FOLDS = 4
 #: The least margin, in natural logs, for valid UTF-8 and for single bytes, whatever the validation says.
 LEAST_UTF8, LEAST_BYTES = 3.0, 9.0
 ROUNDS = 3
@@ -231,34 +231,40 @@ def counts_of(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _fold(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
 def train(clean: DataFrame, suspect: DataFrame | None = None) -> np.ndarray:
-    """Counts over a clean column, and over those records of another that show no sign of damage. Single text columns."""
+    """Counts by part, over a clean column and over those records of another that show no sign of damage. Single text columns."""
     c = clean.columns[0]
     both = clean.select(F.col(c).alias("t"), F.lit(True).alias("ok"))
     if suspect is not None:
         both = both.unionByName(suspect.select(F.col(suspect.columns[0]).alias("t"), F.lit(False).alias("ok")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, dtype=np.int64)
+        total = np.zeros((FOLDS, SIZE), dtype=np.int64)
         for b in batches:
-            texts = [t for t, ok in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and (ok or not _SUSPECT.search(t))]
-            part: list[str] = []
-            held = 0
-            for t in texts:
-                part.append(t)
-                held += len(t)
-                if held > 1_000_000:
-                    total += counts_of(part)
-                    part, held = [], 0
-            if part:
-                total += counts_of(part)
+            part: list[list[str]] = [[] for _ in range(FOLDS)]
+            held = [0] * FOLDS
+            for t, ok, k in zip(*(c.to_pylist() for c in b.columns)):
+                if not t or not ok and _SUSPECT.search(t):
+                    continue
+                part[k].append(t)
+                held[k] += len(t)
+                if held[k] > 1_000_000:
+                    total[k] += counts_of(part[k])
+                    part[k], held[k] = [], 0
+            for k in range(FOLDS):
+                if part[k]:
+                    total[k] += counts_of(part[k])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["bucket", "n"])
 
-    rows = both.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most SIZE rows
-    out = np.zeros(SIZE, dtype=np.int64)
+    rows = both.withColumn("k", _fold("t")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most FOLDS * SIZE rows
+    out = np.zeros(FOLDS * SIZE, dtype=np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    return out.reshape(FOLDS, SIZE)
 
 
 def _utf8_gain(model: Model, text: str, reader: Reader) -> tuple[float, list[tuple[int, int, str]]]:
@@ -343,29 +349,54 @@ def restore(model: Model, text: str, margins: tuple[float, float], memo: dict |
     return text, chains, gained
 
 
+def _most(model: Model, text: str | None, memo: dict) -> tuple[float, float]:
+    """The greatest gains, as valid UTF-8 and as single bytes, that a clean record shows."""
+    if not text or not _HIGH.search(text) or _CONTROL.search(text):
+        return 0.0, 0.0
+    words = _odd_words(model, text)
+    return (
+        max((_utf8_gain(model, text, r)[0] for r in READERS if r.pattern.search(text)), default=0.0),
+        max((_swap_gain(model, words, swap, name, memo)[0] for name, swap in SWAPS), default=0.0) if words else 0.0,
+    )
+
+
+def _margins(utf8: float, single: float) -> tuple[float, float]:
+    return max(LEAST_UTF8, utf8 * 1.25 + 0.5), max(LEAST_BYTES, single * 1.25 + 0.5)
+
+
 def validated_margins(model: Model, clean: list[str]) -> tuple[float, float]:
     """Margins above every gain that clean records show."""
-    most = [0.0, 0.0]
     memo: dict = {}
-    for t in clean:
-        if not t or not _HIGH.search(t) or _CONTROL.search(t):
-            continue
-        for r in READERS:
-            if r.pattern.search(t):
-                most[0] = max(most[0], _utf8_gain(model, t, r)[0])
-        words = _odd_words(model, t)
-        for name, swap in SWAPS:
-            most[1] = max(most[1], _swap_gain(model, words, swap, name, memo)[0])
-    return max(LEAST_UTF8, most[0] * 1.25 + 0.5), max(LEAST_BYTES, most[1] * 1.25 + 0.5)
+    most = [_most(model, t, memo) for t in clean]
+    return _margins(max((m[0] for m in most), default=0.0), max((m[1] for m in most), default=0.0))
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
+
+
+def clean_gains(clean: DataFrame, parts: np.ndarray) -> DataFrame:
+    """(t, utf8, single): the greatest gains of every clean record above ASCII, under the counts of the parts it is not in."""
+    shared = clean.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0) - parts))  # FOLDS * SIZE numbers
+    held: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.extend((Model(c), {}) for c in shared.value)
+        for b in batches:
+            rows = [(t, *_most(held[k][0], t, held[k][1])) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not t.isascii() and not held[k][0].empty]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], names=["t", "utf8", "single"])
+
+    texts = clean.select(F.col(clean.columns[0]).alias("t")).where("t is not null").withColumn("k", _fold("t"))
+    return texts.mapInArrow(run, "t string, utf8 double, single double")
 
 
 def find_garbled(docs: DataFrame, key: str, text: str, clean: DataFrame) -> DataFrame:
     """(key, chains, gain, restored) of the records whose text was decoded wrongly; restored is null where nothing could be."""
-    counts = train(clean, docs.select(text))
-    model = Model(counts)
-    held_out = [r[0] for r in clean.where(F.col(clean.columns[0]).isNotNull()).orderBy(F.xxhash64(clean.columns[0])).limit(VALIDATE_ROWS).collect()]
-    margins = (LEAST_UTF8, LEAST_BYTES) if model.empty else validated_margins(model, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64))  # SIZE numbers
+    parts = train(clean, docs.select(text))
+    most = clean_gains(clean, parts).agg(F.max("utf8"), F.max("single")).first()
+    margins = _margins(most[0] or 0.0, most[1] or 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0)))  # SIZE numbers
     kind = dict(docs.dtypes)[key]
     held: list = []
 

@@ -74,6 +74,21 @@ def test_clean_records_stay(model, margins, clean):
         assert M.restore(model, t, margins)[1] == [], t
 
 
+def test_all_clean_records_validate_the_margins_and_none_its_own_counts(spark, clean):
+    # a sample of a few thousand would miss the one record that looks like damage to a model that has not learnt from it
+    rare = "Straße fröhlich".encode("cp1252").decode("mac_roman")
+    good = spark.createDataFrame([(f"{t} {i}",) for i, t in enumerate(clean * 2)] + [(rare,), (rare,), (None,)], "t string")
+    parts = M.train(good)
+    whole = M.Model(parts.sum(axis=0))
+    differ = parts.sum(axis=0) - M.counts_of([r["t"] for r in good.where("t is not null").collect()])
+    assert set(differ[M.AT_UNI :].nonzero()[0]) <= {10}  # but for the line ends between texts
+    got = [(r["t"], r["single"]) for r in M.clean_gains(good, parts).collect()]
+    assert len(got) == sum(not f"{t} {i}".isascii() for i, t in enumerate(clean * 2)) + 2
+    fold = good.where(f"t = '{rare}'").select(M._fold("t")).first()[0]
+    own = M._most(M.Model(parts.sum(axis=0) - parts[fold]), rare, {})[1]
+    assert [g for t, g in got if t == rare] == [own, own] and own > M._most(whole, rare, {})[1]
+
+
 SCHEMA = "doc_id long, text string, chains string"
 
 
