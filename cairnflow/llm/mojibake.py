@@ -46,6 +46,8 @@ FOLDS = 4
 #: The least margin, in natural logs, for valid UTF-8 and for single bytes, whatever the validation says.
 LEAST_UTF8, LEAST_BYTES = 3.0, 9.0
 ROUNDS = 3
+#: Readings of a run that are listed one by one; of more, the likeliest is found without listing them.
+MANY = 64
 
 # Encodings that UTF-8 is commonly read as, and the single-byte encodings taken for each other.
 READ_AS = ("cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "iso8859_15", "cp1254", "cp1257", "mac_cyrillic", "cp852")
@@ -87,29 +89,72 @@ class Reader:
         # where a character stands for several bytes, short forms must not hide the longer ones
         self.pattern = re.compile(f"(?:{'|'.join(parts[::-1] if small else parts)})+")
 
-    def decode(self, run: str) -> list[str]:
-        """What a run of matched characters may have been; several readings only where small letters hide the bytes."""
+    def decode(self, run: str) -> list[str] | None:
+        """What a run of matched characters may have been; several readings only where small letters hide the bytes.
+
+        None where there are more than MANY: likeliest() then finds the best of them.
+        """
         options = [self.byte[c] for c in run]
         if all(len(o) == 1 for o in options):
             try:
                 return [bytes(o[0] for o in options).decode("utf-8")]
             except UnicodeDecodeError:
                 return []
-        out = [b""]
-        for o in options[:24]:
-            out = [x + bytes([b]) for x in out for b in o][:64]
-        got = []
-        for x in out:
-            try:
-                got.append(x.decode("utf-8").lower() if self.small else x.decode("utf-8"))
-            except UnicodeDecodeError:
+        out = {(0, 0, b"", "")}  # (bytes still wanted, length, the open character's bytes, text so far); no prefix that is not UTF-8 stays
+        for o in options:
+            out = {y for x in out for b in o if (y := self._with(x, b))}
+            if len(out) > MANY:
+                return None
+        return sorted(t for wanted, _, _, t in out if not wanted)
+
+    def _with(self, x: tuple[int, int, bytes, str], b: int) -> tuple[int, int, bytes, str] | None:
+        """A partial reading with one byte more; None where it is no beginning of UTF-8."""
+        wanted, size, open_, text = x
+        if not wanted:
+            size = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
+            return (size - 1, size, bytes([b]), text) if size else None
+        if not 0x80 <= b <= 0xBF:
+            return None
+        if wanted > 1:
+            return wanted - 1, size, open_ + bytes([b]), text
+        try:
+            c = (open_ + bytes([b])).decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+        return 0, 0, b"", text + (c.lower() if self.small else c)
+
+    def likeliest(self, model: "Model", run: str, before: str, after: str) -> list[str]:
+        """The likeliest of all readings of a run in characters that clean records hold, one character at a time; or none.
+
+        Of the readings that end at a place in the same two characters only the best can win, as the model sees no further.
+        """
+        best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(run) + 1)]
+        best[0][before[-2:]] = (0.0, "")
+        for i, states in enumerate(best[:-1]):
+            if not states:
                 continue
-        return list(dict.fromkeys(got)) if len(options) <= 24 else []
-
-
-def undone(model: "Model", reader: Reader, run: str, depth: int = ROUNDS) -> list[str]:
-    """What clean text a run may have been, also where it was read wrongly several times over."""
+            open_ = {(0, 0, b"", "")}
+            for j in range(i, min(i + 4, len(run))):
+                open_ = {y for x in open_ for b in self.byte[run[j]] if (y := self._with(x, b))}
+                for c in sorted({t for wanted, _, _, t in open_ if not wanted and model.known(t)}):
+                    for two, (gain, text) in states.items():
+                        new = (gain + model.score(two + c), text + c)
+                        at = (two + c)[-2:]
+                        if at not in best[j + 1] or new > best[j + 1][at]:
+                            best[j + 1][at] = new
+                open_ = {x for x in open_ if x[0]}
+        ends = [(gain + model.score(two + after), text) for two, (gain, text) in best[-1].items()]
+        return [max(ends)[1]] if ends else []
+
+
+def undone(model: "Model", reader: Reader, run: str, depth: int = ROUNDS, before: str = "  ", after: str = "  ") -> list[str]:
+    """What clean text a run may have been, also where it was read wrongly several times over.
+
+    Of more than MANY readings the likeliest; such a run is not tried as read wrongly several times over.
+    """
     got = reader.decode(run)
+    if got is None:
+        return reader.likeliest(model, run, before, after)
     out = [o for o in got if model.known(o)]
     if out or depth <= 1:
         return out
@@ -271,11 +316,11 @@ def _utf8_gain(model: Model, text: str, reader: Reader) -> tuple[float, list[tup
     """Gain of undoing one wrong reading of UTF-8, and the places to replace."""
     places: list[list[tuple[int, int, str]]] = []
     for m in reader.pattern.finditer(text):
-        options = undone(model, reader, m.group())
-        if not options:
-            continue
         a, b = m.span()
         before, after = ("  " + text[max(0, a - 2) : a])[-2:], (text[b : b + 2] + "  ")[:2]
+        options = undone(model, reader, m.group(), before=before, after=after)
+        if not options:
+            continue
         best = options[0] if len(options) == 1 else max(options, key=lambda o: max(model.likely(before + x + after) for x in {o, o.upper()} if len(x) == len(o)))
         if places and a - places[-1][-1][1] <= 3:
             places[-1].append((a, b, best))  # judged together, as each stands in the other's context

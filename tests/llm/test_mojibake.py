@@ -60,6 +60,25 @@ def test_twice_and_in_places_and_in_small_letters(model, margins):
     assert chains and "répare" in low
 
 
+def test_long_words_in_small_letters(model, margins):
+    inverse = {b: c for c, b in M._byte_of("cp1252").items()}
+    for word in ("проверяет", "стеклянные", "заботливая", "стеклянные" * 3):
+        bad = "".join(inverse.get(b, chr(b)) for b in word.encode("utf-8")).lower()
+        got, chains, _ = M.restore(model, f"мост {bad} мост", margins)
+        assert chains and got == f"мост {word} мост"
+
+
+def test_likeliest_is_the_best_of_all_readings(model, monkeypatch):
+    r = M.READERS[-1]
+    inverse = {b: c for c, b in M._byte_of("cp1252").items()}
+    for word in ("мёд", "свежий", "рынок", "бутылки", "żółte"):
+        bad = "".join(inverse.get(b, chr(b)) for b in word.encode("utf-8") if b > 127).lower()
+        monkeypatch.setattr(M, "MANY", 1 << 20)
+        every = [x for x in r.decode(bad) if model.known(x)]
+        got = r.likeliest(model, bad, " a", "b ")
+        assert len(got) == bool(every) and all(abs(max(model.score(f" a{x}b ") for x in every) - model.score(f" a{g}b ")) < 1e-9 for g in got)
+
+
 @pytest.mark.parametrize("lang, meant, read", [("pl", "cp1250", "cp1252"), ("pl", "iso8859_2", "cp1252"), ("fr", "mac_roman", "cp1252"), ("ru", "cp1251", "koi8_r"), ("ru", "koi8_r", "cp1251"), ("ru", "cp866", "cp1251"), ("ru", "cp1251", "cp1252"), ("de", "cp1252", "mac_roman")])
 def test_single_bytes_read_wrongly(model, margins, lang, meant, read):
     text = SENTENCES[lang].replace("’", "'").replace("–", "-")
