@@ -7,7 +7,8 @@ were read as) is scored:
 
 * UTF-8 read as a single-byte encoding, once or several times over, also where the text was put in small letters
   afterwards: the places whose bytes are valid UTF-8 are candidates;
-* one single-byte encoding read as another: every word with characters outside ASCII is a candidate.
+* one single-byte encoding read as another: words with characters outside ASCII are candidates, but for those of four or
+  more characters that are likely as they stand (FINE): a long word with one damaged letter may be passed over.
 
 The gain of a chain is the log likelihood of what it restores less that of what stands, over the places it improves.
 The likeliest chain is accepted beyond a margin, which is validated on all clean records, each under a model of the
