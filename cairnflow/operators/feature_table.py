@@ -6,8 +6,8 @@ in blocks, each (entity, type) is one index into a dense block, counts and sums
 latest times by maximum, and the block leaves as Arrow feature columns: one row per entity, three columns per type and role.
 
 Defined cases. Null entity: no row. Null type: counted in no column, but the entity still has its row. Null amount: the
-event counts and is recent, and adds nothing. Null time: no recency. As SQL aggregates have it, an entity without events
-of a type has number 0 and a null total and recency. Repeated rows count as often as they stand. Empty table: no rows, no feature columns.
+event counts and is recent, and adds nothing. Null time: no recency. An entity without events of a type has number 0, total 0
+and a null recency. Repeated rows count as often as they stand. Empty table: no rows, no feature columns.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def feature_table(sums: DataFrame, keys: list[str], names: list[str], now: int,
     spark = sums.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parallelism(spark))
     kinds = {k: dict(sums.dtypes)[k] for k in keys}
-    schema = ", ".join([f"{k} {t}" for k, t in kinds.items()] + [f"`{x}_n` int, `{x}_recency` int, `{x}_total` double" for x in names])
+    schema = ", ".join([f"{k} {t}" for k, t in kinds.items()] + [f"`{x}_n` int not null, `{x}_recency` int, `{x}_total` double not null" for x in names])
     width = len(names)
     labels = [*keys, *(f"{x}_{y}" for x in names for y in ("n", "recency", "total"))]
 
@@ -114,8 +114,8 @@ def feature_table(sums: DataFrame, keys: list[str], names: list[str], now: int,
                 age = np.maximum(now - latest, 0).astype(np.int32)
                 take = pa.array(starts[at : at + m])
                 head = [c.combine_chunks() if isinstance(c := t.column(k).take(take), pa.ChunkedArray) else c for k in keys]
-                there, aged = number > 0, (number > 0) & (latest >= 0)
-                three = [_columns(x, ok, kind) for x, ok, kind in ((number, None, pa.int32()), (age, aged, pa.int32()), (total, there, pa.float64()))]
+                aged = (number > 0) & (latest >= 0)
+                three = [_columns(x, ok, kind) for x, ok, kind in ((number, None, pa.int32()), (age, aged, pa.int32()), (total, None, pa.float64()))]
                 cols = [c for row in zip(*three) for c in row]
                 yield pa.RecordBatch.from_arrays([*head, *cols], names=labels)
 
