@@ -6,8 +6,9 @@ A block of entities is one dense numpy array per tree level, so building the tre
 every day and correcting trees are array operations over the whole block. A trailing period that begins in the shard
 before reads that shard's tree too. A late record is a correction: it changes its leaf and the leaf's ancestors only.
 
-Defined cases. Null entity or timestamp: the record belongs to no series and is left out. Null amount: no payment to
-add; the day still belongs to the entity. Repeated rows count as often as they stand. Blanks and letter case around an
+Defined cases. Null entity or timestamp: the record belongs to no series and is left out. Null or not-a-number amount: no
+payment to add; the day still belongs to the entity. Amounts below 1e12 are added exactly, as whole units and 1e-8 units;
+larger and infinite ones as doubles beside them. Exact sums that reach 9e18 raise, they never wrap. Repeated rows count as often as they stand. Blanks and letter case around an
 account do not count. Empty table: empty result. A period without payments has total 0, count 0 and a null average.
 Extra columns are ignored.
 """
@@ -36,7 +37,8 @@ class Forest:
     """Segment trees over one shard for a block of entities.
 
     Level k has width / 2**k nodes; nodes[k][node] is, over the entities of the block, the sum of whole units, the sum of
-    1e-8 units and the count. All are integers, so sums are exact and do not depend on the order of addition.
+    1e-8 units and the count, all integers, so sums are exact and do not depend on the order of addition. Blocks with amounts
+    from EXACT on have a forest of doubles beside it, with that one sum.
     """
 
     def __init__(self, leaves: np.ndarray):
@@ -49,9 +51,9 @@ class Forest:
         return self.nodes[0].shape[0]
 
     def correct(self, rows: np.ndarray, days: np.ndarray, values: np.ndarray) -> int:
-        """Adds late records, values being (3, records); only leaves and their ancestors change. The nodes touched."""
+        """Adds late records, values being (parts, records); only leaves and their ancestors change. The nodes touched."""
         for k in range(len(self.nodes)):
-            for part in range(3):
+            for part in range(len(values)):
                 np.add.at(self.nodes[k][:, part], (days >> k, rows), values[part])
         return len(rows) * len(self.nodes)
 
@@ -84,25 +86,39 @@ def _trailing(trees: list[Forest], day: int, period: int, to: np.ndarray) -> Non
         trees[k].add_total(lo - k * w, day - k * w, to)
 
 
+#: Amounts from here on are added as doubles; below, as two integers.
+EXACT = 1e12
+LIMBS = ("w", "f", "h")
 PARTS = ("w", "f", "n")
 
 
+def limbs(x: Column) -> dict[str, Column]:
+    """An amount as whole units (w), 1e-8 units (f) and, from EXACT on, as it is (h); all 0 where there is none."""
+    there = x.isNotNull() & ~F.isnan(x)
+    near = there & (F.abs(x) < EXACT)
+    return {
+        "w": F.when(near, F.floor(x).cast("long")).otherwise(F.lit(0).cast("long")),
+        "f": F.when(near, F.round((x - F.floor(x)) * 1e8).cast("long")).otherwise(F.lit(0).cast("long")),
+        "h": F.when(there & ~near, x).otherwise(0.0),
+    }
+
+
 def daily(events: DataFrame, keys: dict[str, Column], time: str, amount: str, ingested: str | None = None) -> DataFrame:
     """(keys, day, w, f, n, late_w, late_f, late_n): whole units, 1e-8 units and counts by entity and day.
 
-    Records that arrived on a later day than their own stand apart.
+    Records that arrived on a later day than their own stand apart. h and late_h are the sums of amounts from EXACT on.
     """
     day = F.datediff(F.to_date(time), F.lit("1970-01-01"))
     late = F.coalesce(F.to_date(ingested) > F.to_date(time), F.lit(False)) if ingested else F.lit(False)
     x = F.col(amount).cast("double")
-    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 9e15)
+    part = {**limbs(x), "n": F.when(x.isNotNull() & ~F.isnan(x), 1).otherwise(0)}
     df = events.select(
         *(c.alias(k) for k, c in keys.items()), day.alias("day"), late.alias("_late"),
-        F.when(good, F.floor(x).cast("long")).otherwise(0).alias("_w"), F.when(good, F.round((x - F.floor(x)) * 1e8).cast("long")).otherwise(0).alias("_f"), F.when(good, 1).otherwise(0).alias("_n"),
+        *(c.alias(f"_{p}") for p, c in part.items()),
     ).where(" and ".join(f"{k} is not null" for k in (*keys, "day")))
     return df.groupBy(*keys, "day").agg(
-        *(F.sum(F.when(~F.col("_late"), F.col(f"_{p}")).otherwise(0)).alias(p) for p in PARTS),
-        *(F.sum(F.when(F.col("_late"), F.col(f"_{p}")).otherwise(0)).alias(f"late_{p}") for p in PARTS),
+        *(F.sum(F.when(~F.col("_late"), F.col(f"_{p}")).otherwise(0)).alias(p) for p in part),
+        *(F.sum(F.when(F.col("_late"), F.col(f"_{p}")).otherwise(0)).alias(f"late_{p}") for p in part),
     )
 
 
@@ -156,27 +172,43 @@ def rolling_totals(per_day: DataFrame, keys: list[str], first: int, last: int, p
             entity = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
             d = t.column("day").to_numpy() - first
             on_time, late = (np.stack([t.column(k + x).to_numpy() for x in PARTS]) for k in ("", "late_"))
+            high, late_high = (t.column(k + "h").to_numpy()[None] for k in ("", "late_"))
             for at in range(0, len(starts), BLOCK):
                 m = min(BLOCK, len(starts) - at)
                 a, b = starts[at], (starts[at + m] if at + m < len(starts) else t.num_rows)
                 rows, dd = entity[a:b] - at, d[a:b]
-                trees = []
-                for k in range(shards):
-                    here = np.flatnonzero((dd >= k * SHARD_DAYS) & (dd < (k + 1) * SHARD_DAYS))
-                    r, x = rows[here], dd[here] - k * SHARD_DAYS
-                    leaves = np.zeros((SHARD_DAYS, 3, m), dtype=np.int64)
-                    for part in range(3):
-                        leaves[x, part, r] = on_time[part, a:b][here]  # one row per entity and day
-                    f = Forest(leaves)
-                    tardy = late[2, a:b][here] > 0
-                    f.correct(r[tardy], x[tardy], late[:, a:b][:, here[tardy]])
-                    trees.append(f)
+                if np.abs(on_time[0, a:b]).sum(dtype=np.float64) + np.abs(late[0, a:b]).sum(dtype=np.float64) >= 9e18 and max(
+                    np.bincount(rows, weights=np.abs(v[0, a:b]), minlength=m).max() for v in (on_time, late)
+                ) >= 4.5e18:
+                    raise OverflowError("an entity's exact sum exceeds 9e18")
+                tardy = late[2, a:b] > 0
+
+                def forests(first_come: np.ndarray, later: np.ndarray) -> list[Forest]:
+                    out = []
+                    for k in range(shards):
+                        here = np.flatnonzero((dd >= k * SHARD_DAYS) & (dd < (k + 1) * SHARD_DAYS))
+                        leaves = np.zeros((SHARD_DAYS, len(first_come), m), dtype=first_come.dtype)
+                        for part, values in enumerate(first_come):
+                            leaves[dd[here] - k * SHARD_DAYS, part, rows[here]] = values[a:b][here]  # one row per entity and day
+                        f = Forest(leaves)
+                        here = here[tardy[here]]
+                        f.correct(rows[here], dd[here] - k * SHARD_DAYS, later[:, a:b][:, here])
+                        out.append(f)
+                    return out
+
+                def totals(trees: list[Forest], period: int) -> np.ndarray:
+                    got = np.zeros((days, *trees[0].nodes[0].shape[1:]), dtype=trees[0].nodes[0].dtype)
+                    for q in range(days):
+                        _trailing(trees, q, period, got[q])
+                    return got
+
+                trees = forests(on_time, late)
+                tall = forests(high, late_high) if high[0, a:b].any() or late_high[0, a:b].any() else None
                 out = {}
                 for p in periods:
-                    got = np.zeros((days, 3, m), dtype=np.int64)
-                    for q in range(days):
-                        _trailing(trees, q, p, got[q])
-                    out[f"total_{p}d"] = pa.array((got[:, 0] + got[:, 1] / 1e8).T.ravel())
+                    got = totals(trees, p)
+                    sums = got[:, 0] + got[:, 1] / 1e8
+                    out[f"total_{p}d"] = pa.array((sums if tall is None else sums + totals(tall, p)[:, 0]).T.ravel())
                     out[f"n_{p}d"] = pa.array(got[:, 2].T.ravel().astype(np.int32))
                 take = pa.array(np.repeat(starts[at : at + m], days))
                 names = {k: t.column(k).combine_chunks().take(take) for k in keys}
@@ -213,25 +245,26 @@ def p2_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- trees kept as a table, so that late records can be taken in without reading the rest again -------------------------
 
 LEVELS = SHARD_DAYS.bit_length()
+NODE = (*PARTS, "h")
 
 
 def tree_nodes(per_day: DataFrame, keys: list[str], late: bool = False) -> DataFrame:
-    """(keys, shard, level, node, w, f, n): the nodes above every day an entity has, of its on-time or of its late records.
+    """(keys, shard, level, node, w, f, n, h): the nodes above every day an entity has, of its on-time or of its late records.
 
     Nodes without records are not kept. Days count from 1970, so shards are the same for every table.
     """
     p = "late_" if late else ""
-    leaves = per_day.where(f"{p}n > 0").select(*keys, F.floor(F.col("day") / SHARD_DAYS).cast("int").alias("shard"), F.pmod("day", F.lit(SHARD_DAYS)).cast("int").alias("_d"), *(F.col(p + x).alias(x) for x in PARTS))
+    leaves = per_day.where(f"{p}n > 0").select(*keys, F.floor(F.col("day") / SHARD_DAYS).cast("int").alias("shard"), F.pmod("day", F.lit(SHARD_DAYS)).cast("int").alias("_d"), *(F.col(p + x).alias(x) for x in NODE))
     level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
     up = leaves.select("*", level).withColumn("node", F.floor(F.col("_d") / F.pow(F.lit(2), F.col("level"))).cast("int"))
-    return up.groupBy(*keys, "shard", "level", "node").agg(*(F.sum(x).alias(x) for x in PARTS))
+    return up.groupBy(*keys, "shard", "level", "node").agg(*(F.sum(x).alias(x) for x in NODE))
 
 
 def correct_nodes(nodes: DataFrame, keys: list[str], corrections: DataFrame) -> DataFrame:
     """nodes with corrections (nodes of the same form) added: only leaves with late records and their ancestors change."""
     at = [*keys, "shard", "level", "node"]
-    add = corrections.select(*at, *(F.col(x).alias(f"_{x}") for x in PARTS))
-    return nodes.join(add, at, "full_outer").select(*at, *((F.coalesce(x, F.lit(0)) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in PARTS), F.col("_n").isNotNull().alias("corrected"))
+    add = corrections.select(*at, *(F.col(x).alias(f"_{x}") for x in NODE))
+    return nodes.join(add, at, "full_outer").select(*at, *((F.coalesce(x, F.lit(0)) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in NODE), F.col("_n").isNotNull().alias("corrected"))
 
 
 def range_totals(nodes: DataFrame, keys: list[str], asks: DataFrame, period: int) -> DataFrame:
@@ -245,8 +278,8 @@ def range_totals(nodes: DataFrame, keys: list[str], asks: DataFrame, period: int
         cover.append(F.array(*(F.struct(F.lit(b).alias("back"), F.lit(k).alias("level"), F.lit(i).alias("node")) for b, k, i in own + back)))
     a = asks.select(*keys, "day", F.explode(F.get(F.array(*cover), F.pmod("day", F.lit(SHARD_DAYS)).cast("int"))).alias("_c"))
     a = a.select(*keys, "day", (F.floor(F.col("day") / SHARD_DAYS) - F.col("_c.back")).cast("int").alias("shard"), "_c.level", "_c.node")
-    got = a.join(nodes, [*keys, "shard", "level", "node"], "left").groupBy(*keys, "day").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in PARTS))
-    return got.select(*keys, "day", (F.col("w") + F.col("f") / 1e8).alias("total"), "n")
+    got = a.join(nodes, [*keys, "shard", "level", "node"], "left").groupBy(*keys, "day").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in NODE))
+    return got.select(*keys, "day", (F.col("w") + F.col("f") / 1e8 + F.col("h")).alias("total"), "n")
 
 
 def p2_corrected_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +296,8 @@ WITH e AS (
   FROM hi_small_trans WHERE trim(from_bank) <> '' AND trim(from_account) <> '' AND "timestamp" IS NOT NULL AND amount_paid IS NOT NULL
 )
 SELECT bank, account, CAST(d // 64 AS INTEGER) AS shard, level, CAST((d % 64) // (1 << level) AS INTEGER) AS node,
-  CAST(sum(CAST(floor(x) AS BIGINT)) AS BIGINT) AS w, CAST(sum(CAST(round((x - floor(x)) * 1e8) AS BIGINT)) AS BIGINT) AS f, count(*) AS n, bool_or(late) AS corrected
+  CAST(sum(CASE WHEN abs(x) < 1e12 THEN CAST(floor(x) AS BIGINT) ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN abs(x) < 1e12 THEN CAST(round((x - floor(x)) * 1e8) AS BIGINT) ELSE 0 END) AS BIGINT) AS f,
+  count(*) AS n, sum(CASE WHEN abs(x) < 1e12 THEN 0e0 ELSE x END) AS h, bool_or(late) AS corrected
 FROM e, (SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS level) GROUP BY ALL
 """
 

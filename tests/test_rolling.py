@@ -70,3 +70,23 @@ def test_tree_table_answers_ranges_across_shards(spark):
             xs = [x for x in range(0, 140, 2) if i - period < x <= i]
             assert r["n"] == len(xs) and abs(r["total"] - sum(xs)) < 1e-9
     assert 0 < nodes.where("corrected").count() < nodes.count()
+
+
+def test_large_and_infinite_amounts_count_whole(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("1", "a", t0, 3e16, t0, "x"), ("1", "a", t0 + dt.timedelta(days=1), 2.5, t0 + dt.timedelta(days=2), "x"), ("1", "b", t0 + dt.timedelta(days=1), float("inf"), t0 + dt.timedelta(days=4), "x"), ("1", "b", t0, float("nan"), t0, "x")]
+    first = int((np.datetime64("2024-01-01") - L.EPOCH).astype(int))
+    got = {(k[1], (k[2] - t0.date()).days): r for k, r in run(spark, rows, first, first + 9).items()}
+    assert got["A", 0]["total_7d"] == 3e16 and got["A", 1]["total_7d"] == 3e16 + 2.5 and got["A", 1]["n_7d"] == 2
+    assert got["A", 8]["total_7d"] == 0 and got["A", 7]["total_7d"] == 2.5 and got["A", 9]["total_30d"] == 3e16 + 2.5
+    assert got["B", 0]["n_7d"] == 0 and got["B", 0]["total_7d"] == 0 and got["B", 2]["total_7d"] == float("inf") and got["B", 9]["total_7d"] == 0
+
+
+def test_exact_sums_never_wrap(spark):
+    import pytest
+
+    rows = [("1", "a", dt.datetime(2024, 1, 1), 9.9e11, None, "x")] * 3
+    d = L.daily(spark.createDataFrame(rows, SCHEMA), {"k": L.account("acct")}, "ts", "x").withColumn("w", F.lit(5 * 10**18)).withColumn("late_w", F.lit(0).cast("long"))
+    first = int((np.datetime64("2024-01-01") - L.EPOCH).astype(int))
+    with pytest.raises(Exception, match="exceeds 9e18"):
+        L.rolling_totals(d.unionByName(d.withColumn("day", F.col("day") + 1)), ["k"], first, first + 3).collect()
