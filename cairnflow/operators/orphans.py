@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import parallelism, table
+from ..session import cut, parallelism, table
 
 #: Parents in a range, about; also what a task holds in memory.
 RANGE_KEYS = 1_000_000
@@ -41,27 +40,19 @@ def standing_parents(parents: DataFrame, key: str, loaded: str, deleted: str) ->
 def probe(parents: DataFrame, refs: DataFrame, ranges: int | None = None) -> DataFrame:
     """refs(key, at, payload...) with `state`: 0 found, 1 no such key, 2 the key's rows are all deleted, 3 not yet there."""
     spark = refs.sparkSession
+    parents = cut(parents)  # counted, cut into ranges and probed from one written copy
     n = parents.count()
     ranges = ranges or max(2 * parallelism(spark), -(-n // RANGE_KEYS))
-    edges = sorted({int(q) for q in parents.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if n else []
-    lit = F.array(*(F.lit(e) for e in edges)).cast("array<bigint>")
-    slot = F.size(F.filter(lit, lambda e: e < F.col("key"))) if len(edges) <= 64 else _search(edges)
-    load = {r["range"]: r["n"] for r in refs.groupBy(slot.alias("range")).agg(F.count("*").alias("n")).collect()}  # one row a range
+    edges = np.array(sorted({int(q) for q in parents.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if n else [], dtype=np.int64)
+    load = {r["range"]: r["n"] for r in _range_loads(refs.select("key"), edges).collect()}  # one row a range
     share = max(1, sum(load.values()) // max(1, ranges))
-    first, splits = [], []
-    for r in range(len(edges) + 1):
-        first.append(sum(splits))
-        splits.append(max(1, -(-load.get(r, 0) // share)))
-    slots = sum(splits)
-    starts, widths = (F.array(*(F.lit(x) for x in xs)) for xs in (first, splits))
-    at = F.get(starts, F.col("_r"))
+    splits = np.array([max(1, -(-load.get(r, 0) // share)) for r in range(len(edges) + 1)], dtype=np.int64)
+    first = np.cumsum(splits) - splits
     payload = [c for c in refs.columns if c not in ("key", "at")]
-    right = parents.withColumn("_r", slot).withColumn("_s", F.explode(F.sequence(at, at + F.get(widths, F.col("_r")) - 1)))
-    left = refs.withColumn("_r", slot).withColumn("_s", at + F.pmod(F.xxhash64(*refs.columns), F.get(widths, F.col("_r"))).cast("int"))
-    both = right.select("_s", F.lit(0).alias("_tag"), "key", F.col("since").alias("at"), *(F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in payload)).unionByName(
-        left.select("_s", F.lit(1).alias("_tag"), "key", "at", *payload)
-    )
-    placed = both.repartitionById(slots, "_s").sortWithinPartitions("_tag", F.when(F.col("_tag") == 0, F.col("key")))
+    right = parents.select("key", F.col("since").alias("at"), F.lit(0).alias("_tag"), *(F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in payload))
+    left = refs.select("key", "at", F.lit(1).alias("_tag"), *payload)
+    both = _placed(right, None, edges, first, splits).unionByName(_placed(left, F.xxhash64(*refs.columns), edges, first, splits))
+    placed = both.repartitionById(int(splits.sum()), "_s").sortWithinPartitions("_tag", F.when(F.col("_tag") == 0, F.col("key")))
     kinds = dict(refs.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in ("key", "at", *payload)] + ["state int"])
 
@@ -90,15 +81,41 @@ def probe(parents: DataFrame, refs: DataFrame, ranges: int | None = None) -> Dat
     return placed.mapInArrow(run, schema)
 
 
-def _search(edges: list[int]):
-    """The range of a key among many edges, by binary search in a vectorised function."""
-    bounds = np.array(edges, dtype=np.int64)
+def _range_loads(refs: DataFrame, edges: np.ndarray) -> DataFrame:
+    """(range, n): references of each range, added up per task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges) + 1, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(np.searchsorted(edges, b.column(0).to_numpy()), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["range", "n"])
+
+    return refs.mapInArrow(run, "range int, n long").groupBy("range").agg(F.sum("n").alias("n"))
 
-    @F.pandas_udf("int")
-    def find(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
 
-    return find(F.col("key"))
+def _placed(rows: DataFrame, spread: Column | None, edges: np.ndarray, first: np.ndarray, splits: np.ndarray) -> DataFrame:
+    """rows with the slot (_s) of their key's range, by binary search; with no number to spread by, a copy for every split.
+
+    The bounds of the ranges travel with the function: three numbers a range.
+    """
+    copies = spread is None
+    rows = rows.withColumn("_h", F.lit(0).cast("long") if copies else spread)
+    names = [c for c in rows.columns if c != "_h"]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = np.searchsorted(edges, b.column("key").to_numpy())
+            if copies:
+                take = np.repeat(np.arange(len(r)), splits[r])
+                again = np.arange(len(take)) - np.repeat(np.cumsum(splits[r]) - splits[r], splits[r])  # 0, 1, ... in each row's copies
+                slot, b = first[r][take] + again, b.take(pa.array(take))
+            else:
+                slot = first[r] + b.column("_h").to_numpy() % splits[r]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(slot.astype(np.int32))], names=[*names, "_s"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", _s int")
 
 
 def orphan_states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ to one of its shards; the matching side of a heavy key is replicated to just the
 task, records meet their matching row by one sort, and per-key results come from merging the shards' partial results.
 
 Defined cases. Null keys match nothing and form no key. Keys without a matching row keep nulls on that side. Several
-matching rows for a key: the caller must reduce them to one. A column that stands on both sides keeps its name on the
+matching rows for a key: the caller must reduce them to one. Null or not-a-number amounts count as payments, not in means. A column that stands on both sides keeps its name on the
 record's side and gets the ending _match on the other. Repeated records each count. Ties in load are packed by
 name, so plans are the same every time. Empty input: empty result.
 """
@@ -20,8 +20,8 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import parallelism, table
-from .rolling import account
+from ..session import cut, parallelism, table
+from .rolling import account, limbs
 
 #: A key is heavy when its load exceeds this share of the average task's load.
 HEAVY_SHARE = 0.25
@@ -139,29 +139,32 @@ KEYS = ["role", "bank", "account"]
 
 
 def account_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per account and role: payments, their mean, those more than twice the mean, and the share of all rows.
+    """Per account and role: payments, their mean, those more than twice the mean, and how many the matching side says there are.
 
-    The mean of each account is the matching side; the payments meet it by fragment-replicate, and shards are merged.
+    The load and mean of each account are the matching side, added up once and written; the payments meet it by
+    fragment-replicate, and shards are merged.
     """
     records = _by_role(spark, sf_dir)
-    stats = records.groupBy(*KEYS).agg(F.count("*").alias("load"), F.avg("x").alias("mean"))
-    loads, match = stats.select(*KEYS, "load"), stats.select(*KEYS, "mean")
-    met = fragment_replicate(records.select(*KEYS, "trans_id", "x"), match, KEYS, loads=loads)
+    parts = limbs(F.col("x"))
+    sums = records.groupBy(*KEYS).agg(F.count("*").alias("load"), F.count_if(F.col("x").isNotNull() & ~F.isnan("x")).alias("_n"), *(F.sum(c).alias(f"_{k}") for k, c in parts.items()))
+    mean = (F.col("_w") + F.col("_f") / 1e8 + F.col("_h")) / F.when(F.col("_n") > 0, F.col("_n"))
+    match = cut(sums.select(*KEYS, "load", mean.alias("mean")))
+    met = fragment_replicate(records.select(*KEYS, "trans_id", "x"), match, KEYS, loads=match.select(*KEYS, "load"))
     part = met.groupBy("task", *KEYS).agg(  # within the task: no shuffle
-        F.count("*").alias("n"), F.max("mean").alias("mean"), F.sum(F.when(F.col("x") > 2 * F.col("mean"), 1).otherwise(0)).alias("above"), F.max("x").alias("largest"))
+        F.count("*").alias("n"), F.max("load").alias("load"), F.max("mean").alias("mean"), F.sum(F.when(F.col("x") > 2 * F.col("mean"), 1).otherwise(0)).alias("above"), F.max("x").alias("largest"))
     return part.groupBy(*KEYS).agg(
-        F.sum("n").alias("n"), F.max("mean").alias("mean"), F.sum("above").alias("above"), F.max("largest").alias("largest"), F.count("*").cast("int").alias("fragments"))
+        F.sum("n").alias("n"), F.max("load").alias("load"), F.max("mean").alias("mean"), F.sum("above").alias("above"), F.max("largest").alias("largest"), F.count("*").cast("int").alias("fragments"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts in at least 1 % of all rows, by role."""
+    """Accounts in at least 1 % of all rows, by role: payments that met their account's row, counted in all its shards."""
     rows = table(spark, sf_dir, "hi_small_trans", "trans_id").count()
-    return account_results(spark, sf_dir).where(F.col("n") * 100 >= F.lit(rows)).select(*KEYS)
+    return account_results(spark, sf_dir).where((F.col("n") * 100 >= F.lit(rows)) & (F.col("n") == F.col("load"))).select(*KEYS)
 
 
 def p3_account_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-account results over every payment, without one task holding a busy account."""
-    return account_results(spark, sf_dir).select(*KEYS, "n", "largest", F.round("mean", 4).alias("mean"), "above")
+    return account_results(spark, sf_dir).select(*KEYS, "n", "largest", "mean", "above")
 
 
 P3_SIDES = """
@@ -172,5 +175,10 @@ WITH s AS (
 """
 ORACLE = {
     "p3_found": P3_SIDES + "SELECT role, bank, account FROM k GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM hi_small_trans)",
+    "p3_account_results": P3_SIDES + """, m AS (
+  SELECT role, bank, account, count(*) AS n, max(x) AS largest,
+    (coalesce(CAST(sum(CAST(floor(x) AS BIGINT)) AS DOUBLE), 0) + coalesce(CAST(sum(CAST(round((x - floor(x)) * 1e8) AS BIGINT)) AS DOUBLE), 0) / 1e8) / nullif(count(x), 0) AS mean FROM k GROUP BY ALL)
+SELECT m.role, m.bank, m.account, m.n, m.largest, m.mean, count(*) FILTER (k.x > 2 * m.mean) AS above
+FROM m JOIN k ON k.role = m.role AND k.bank = m.bank AND k.account = m.account GROUP BY ALL""",
 }
 QUERIES = {"p3_found": p3_found, "p3_account_results": p3_account_results}

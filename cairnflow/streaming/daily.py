@@ -8,14 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the session's shared checkpoint folder."""
-    import os
-    import tempfile
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cairnflow-checkpoints")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
