@@ -1,10 +1,15 @@
 """Problem 6: filling fixed-capacity containers with items.
 
 Texts are sized in tokens of a public tokenizer, whole texts, in Arrow batches. Items are dealt at random into groups of
-bounded size; within a group, bin completion searches for the fewest containers: around the largest item left, the
-undominated fillings of the rest of its container are enumerated, those that would waste more than the best packing
-known allows are pruned, and best-fit-decreasing is the first packing known. The search stops at the lower bound or after
-a fixed number of steps, and then the best packing found stands, so each group's result is valid and whole.
+bounded size; within a group, bin completion searches for the fewest containers: around the largest item left, all
+undominated fillings of the rest of its container are tried in order of waste. A filling is dominated if an item not in it
+fits beside it, or could take the place of a smaller item or of several together. Fillings that waste more than the best
+packing known allows are pruned, as are sets of items left that were met before with no more waste; best-fit-decreasing is the first packing known, and
+a bound that counts what large items leave shut ends the search where it is reached. Fillings are generated one by one from
+the sums that the items can make, so none is left out and none is looked for in vain.
+
+The search is exact. As the problem is hard, it has a budget of steps for each group (GROUP_STEPS; None: no budget): where
+that ends a search, the best packing found stands and its containers are marked as not proved to be the fewest.
 
 Defined cases. A text larger than a container is cut into full containers and one rest, which is packed like any item;
 no other text is split. Empty text: an item of 0 tokens, in a container like any other. Null text: no item. Repeated
@@ -14,7 +19,8 @@ rows are items of their own. Equal sizes are packed in order of arrival. Empty t
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
+import random
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +34,10 @@ CAPACITY = 2_048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Items in a group, about; bounds a task's memory and search. A group leaves at most about one container part empty.
 GROUP_ITEMS = 8_192
-#: Steps of the search for one filling, and for the packing of a group.
-FILL_STEPS, GROUP_STEPS = 3_000, 2_000_000
+#: Steps of the search in a group: fillings tried, and sixteenths of the sizes they are made from.
+GROUP_STEPS = 2_000_000
+#: Sets of items known to lead nowhere, about; more are not remembered, which costs time only.
+MEMORY = 500_000
 
 _loaded: dict[str, object] = {}
 
@@ -77,8 +85,6 @@ def sizes(docs: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFr
 
 def best_fit(items: list[int], capacity: int) -> list[list[int]]:
     """Best-fit decreasing over indexes of items, which are sizes in falling order."""
-    from bisect import insort
-
     room: list[tuple[int, int]] = []  # (room, container), in order
     out: list[list[int]] = []
     for i, n in enumerate(items):
@@ -93,138 +99,176 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def fillings(room: int, have: dict[int, int], order: list[int], allowed: int, most: int, steps: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of a room with the sizes still there (order: falling): (waste, sizes), least waste first.
+def lower_bound(items: list[int], capacity: int) -> int:
+    """Fewest containers that any packing of items (sizes in falling order) needs.
 
-    A filling is dominated when an unused item fits, or when an unused item could take the place of a smaller one in it.
-    The first without waste ends the search; those that waste more than allowed, or than the best few found, are pruned.
+    Items above half stand one to a container. For every size k up to half: those above capacity - k take nothing of size k
+    or more beside them, so the items from k to half must fit into what the other large ones leave, or into new containers.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    chosen: list[int] = []
-    used: dict[int, int] = {}
-    worst = allowed
-    left_steps = steps
-    small = next((s for s in reversed(order) if have.get(s, 0) > 0), room + 1)
-    asc = order[::-1]
-
-    def undominated(rest: int) -> bool:
-        for x in set(chosen):
-            at = bisect_right(asc, x + rest)
-            for u in asc[max(0, at - 3) : at]:
-                if x < u <= x + rest and have[u] - used.get(u, 0) > 0:
-                    return False
+    if not items:
+        return 0
+    before = [0]
+    for n in items:
+        before.append(before[-1] + n)
+    falling = [-n for n in items]
+    large = bisect_right(falling, -(capacity // 2 + 1))
+    best = max(1, large, -(-before[-1] // capacity))
+    for k in {n for n in items if 2 * n <= capacity}:
+        shut = bisect_right(falling, -(capacity - k + 1))
+        small = bisect_right(falling, -k)
+        room = (large - shut) * capacity - (before[large] - before[shut])
+        best = max(best, large + max(0, -(-(before[small] - before[large] - room) // capacity)))
+    return best
+
+
+def _sums(order: list[int], have: dict[int, int], room: int) -> list[int]:
+    """For each place in order, the sums up to room that the sizes from there on can make, as the bits of a number."""
+    mask = (1 << room + 1) - 1
+    out = [1] * (len(order) + 1)
+    bits = 1
+    for i in range(len(order) - 1, -1, -1):
+        s, left, k = order[i], min(have[order[i]], room // order[i]), 1
+        while left > 0:
+            k = min(k, left)
+            bits |= bits << s * k
+            left, k = left - k, 2 * k
+        bits &= mask
+        out[i] = bits
+    return out
+
+
+def _exact(order: list[int], have: dict[int, int], room: int, sums: list[int], start: int = 0) -> Iterator[tuple[int, ...]]:
+    """All fillings of exactly the room, large sizes first; every branch entered leads to one."""
+    if room == 0:
+        yield ()
+        return
+    i = start
+    while i < len(order) and sums[i] >> room & 1:
+        s = order[i]
+        for c in range(min(have[s], room // s), 0, -1):
+            if sums[i + 1] >> room - c * s & 1:
+                for rest in _exact(order, have, room - c * s, sums, i + 1):
+                    yield (s,) * c + rest
+        i += 1
+
+
+def _wider(bits: int, width: int) -> int:
+    """bits, each also at the width places above it."""
+    done = 1
+    while done <= width:
+        step = min(done, width + 1 - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], waste: int, unused: int) -> bool:
+    """Whether an unused size (a bit each) fits beside the filling, or in place of a smaller item or of several together."""
+    if unused & (1 << waste + 1) - 1:
         return True
+    one = several = 0
+    for s in filling:
+        several |= (one | several) << s
+        one |= 1 << s
+    return bool(_wider(several, waste) & unused) or waste > 0 and bool(_wider(one << 1, waste - 1) & unused)
 
-    def search(start: int, rest: int) -> bool:
-        nonlocal worst, left_steps
-        fits = False
-        n = len(order)
-        i = max(start, n - bisect_right(asc, rest))
-        while i < n:
-            left_steps -= 1
-            if left_steps < 0:
-                return not found and False
-            s = order[i]
-            if s <= rest and have[s] - used.get(s, 0) > 0:
-                fits = True
-                used[s] = used.get(s, 0) + 1
-                chosen.append(s)
-                if search(i, rest - s):
-                    return True
-                chosen.pop()
-                used[s] -= 1
-            i += 1
-        if not fits or rest < small:
-            if rest <= worst and (rest == 0 or undominated(rest)):
-                found.append((rest, tuple(chosen)))
-                found.sort(key=lambda f: f[0])
-                del found[most:]
-                if len(found) == most:
-                    worst = found[-1][0]
-            return bool(found) and found[0][0] == 0
-        return False
-
-    search(0, room)
-    return found
-
-
-def complete(items: list[int], capacity: int, steps: int = GROUP_STEPS) -> list[list[int]]:
-    """The best packing found of items (sizes in falling order, none above the capacity), as lists of indexes."""
+
+def fillings(room: int, have: dict[int, int], order: list[int], allowed: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All undominated fillings of a room with the sizes still there (order: falling) as (waste, sizes), least waste first.
+
+    They are generated as they are asked for; `have` must be the same whenever the next one is.
+    """
+    live = [s for s in order if s <= room and have[s] > 0]
+    sums = _sums(live, have, room)
+    there = 0
+    for s in live:
+        there |= 1 << s
+    for waste in range(min(allowed, room) + 1):
+        if sums[0] >> room - waste & 1:
+            for f in _exact(live, have, room - waste, sums):
+                spent = 0
+                for s in set(f):
+                    if f.count(s) == have[s]:
+                        spent |= 1 << s
+                if not dominated(f, waste, there & ~spent):
+                    yield waste, f
+
+
+def solve(items: list[int], capacity: int, steps: int | None = GROUP_STEPS) -> tuple[list[list[int]], bool]:
+    """The best packing found of items (sizes in falling order, none above the capacity), as lists of indexes, and whether it is proved to be the best."""
     best = best_fit(items, capacity)
-    total = sum(items)
-    bound = max(-(-total // capacity), 1 if items else 0)
-    if len(best) <= bound or not items:
-        return best
+    bound = lower_bound(items, capacity)
+    if len(best) <= bound:
+        return best, True
     where: dict[int, list[int]] = {}
     for i, n in enumerate(items):
         where.setdefault(n, []).append(i)
-    have = {n: len(x) for n, x in where.items()}
-    order = sorted((n for n in have if n > 0), reverse=True)
-    budget = [steps]
-    record: list[tuple[int, ...]] | None = None
-    limit = len(best)
-
-    def descend(packed: list[tuple[int, ...]], waste: int) -> bool:
-        """True once a packing at the lower bound is found."""
-        nonlocal record, limit
-        largest = next((n for n in order if have[n] > 0), None)
+    have = {n: len(x) for n, x in where.items() if n > 0}
+    order = sorted(have, reverse=True)
+    total = sum(items)
+    rnd = random.Random(0)
+    mark = {s: rnd.getrandbits(128) for s in order}  # a set of items is known by the sum of its marks
+    failed: dict[int, int] = {}  # the least waste with which a set of packed items was given up
+    limit, record = len(best), None
+    state = waste = 0
+    left = steps if steps is not None else 1 << 62
+    stack: list[list] = []  # [largest item, its fillings, the one tried now]
+
+    def descend() -> bool:
+        """Opens a container with the largest item left; False if there is none."""
+        nonlocal left
+        largest = next((s for s in order if have[s] > 0), None)
         if largest is None:
-            if len(packed) < limit:
-                limit, record = len(packed), list(packed)
-            return limit <= bound
-        allowed = (limit - 1) * capacity - total - waste  # more waste cannot beat the packing known
-        if allowed < 0 or budget[0] <= 0:
             return False
-        live = [n for n in order if have[n] > 0]
         have[largest] -= 1
-        room = capacity - largest
-        cap = min(FILL_STEPS, budget[0])
-        options = fillings(room, have, live, min(allowed, room), 3, cap)
-        budget[0] -= 1 + len(live) // 8
-        if not options:  # the steps ran out: fill greedily, largest first
-            rest, got = room, []
-            for n in live:
-                k = min(have[n], rest // n)
-                got += [n] * k
-                rest -= k * n
-            options = [(rest, tuple(got))]
-        for w, filling in options:
-            if w > (limit - 1) * capacity - total - waste:
-                break
-            for n in filling:
-                have[n] -= 1
-            packed.append((largest, *filling))
-            if descend(packed, waste + w):
-                return True
-            packed.pop()
-            for n in filling:
-                have[n] += 1
-            if budget[0] <= 0:
-                break
-        have[largest] += 1
-        return False
-
-    import sys
-
-    deep = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(deep, 4 * len(items) + 10_000))
-    try:
-        descend([], 0)
-    finally:
-        sys.setrecursionlimit(deep)
+        left -= len(order) // 16
+        stack.append([largest, fillings(capacity - largest, have, order, (limit - 1) * capacity - total - waste), None])
+        return True
+
+    descend()
+    while stack and limit > bound:
+        largest, options, now = stack[-1]
+        if now is not None:
+            for s in now[1]:
+                have[s] += 1
+            state -= mark[largest] + sum(mark[s] for s in now[1])
+            waste -= now[0]
+        now = stack[-1][2] = next(options, None) if left > 0 else None
+        if now is None or waste + now[0] > (limit - 1) * capacity - total:  # waste only rises: none of the rest can beat the packing known
+            have[largest] += 1
+            stack.pop()
+            if left > 0 and (len(failed) < MEMORY or state in failed):
+                failed[state] = min(waste, failed.get(state, waste))
+            continue
+        left -= 1
+        for s in now[1]:
+            have[s] -= 1
+        state += mark[largest] + sum(mark[s] for s in now[1])
+        waste += now[0]
+        if (known := failed.get(state)) is not None and known <= waste:
+            continue
+        if not descend() and len(stack) < limit:
+            limit, record = len(stack), [(g[0], *g[2][1]) for g in stack]
+    proved = limit <= bound or left > 0
     if record is None:
-        return best
+        return best, proved
     out = [[where[n].pop() for n in c] for c in record]
-    empties = where.get(0, [])
-    if empties:
-        out[0] = out[0] + list(empties)
-    return out
+    out[0] += where.get(0, [])
+    return out, proved
 
 
-def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """(container, key, piece, pieces, start, tokens): where each text, or each piece of one above the capacity, stands."""
-    n = sized.count()
-    groups = max(1, -(-n // group_items))
+def complete(items: list[int], capacity: int, steps: int | None = GROUP_STEPS) -> list[list[int]]:
+    """The best packing found of items (sizes in falling order, none above the capacity), as lists of indexes."""
+    return solve(items, capacity, steps)[0]
+
+
+def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rows: int | None = None) -> DataFrame:
+    """(container, key, piece, pieces, start, tokens, proved): where each text, or each piece of one above the capacity, stands.
+
+    rows: how many there are, where that is known; else they are counted, and sized once for it. proved: the group's
+    containers are proved to be the fewest.
+    """
+    groups = max(1, -(-(sized.count() if rows is None else rows) // group_items))
     kind = dict(sized.dtypes)[key]
     # rows are dealt by their place in the scan, so equal keys or sizes do not gather in one group
     dealt = sized.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
@@ -243,7 +287,8 @@ def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int
             for p in range(int(full[i])):
                 row.append(i), piece.append(p), container.append(next_id)
                 next_id += 1
-        for c in complete(items, capacity):
+        packed, proved = solve(items, capacity)
+        for c in packed:
             for j in c:
                 i = int(order[j])
                 row.append(i), piece.append(int(full[i])), container.append(next_id)
@@ -253,16 +298,18 @@ def pack(sized: DataFrame, key: str, capacity: int = CAPACITY, group_items: int
         size = np.minimum(tokens[row].astype(np.int64) - start, capacity)
         return pa.table({
             "container": pa.array(np.array(container, dtype=np.int64) + (np.int64(g) << 32)), key: keys.take(pa.array(row)), "piece": pa.array(piece),
-            "pieces": pa.array((full[row] + 1).astype(np.int32)), "start": pa.array(start.astype(np.int32)), "tokens": pa.array(size.astype(np.int32)),
+            "pieces": pa.array((full[row] + 1).astype(np.int32)), "start": pa.array(start.astype(np.int32)), "tokens": pa.array(size.astype(np.int32)), "proved": pa.array(np.full(len(row), proved)),
         })
 
-    slots = max(2 * parallelism(sized.sparkSession), 1)
-    spread = dealt.repartition(min(groups, max(slots, groups)), "_g") if groups > 1 else dealt
-    return spread.groupBy("_g").applyInArrow(run, f"container long, {key} {kind}, piece int, pieces int, start int, tokens int")
+    spark = sized.sparkSession
+    most = max(4 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))  # several groups may share a partition
+    spread = dealt.repartition(min(groups, most), "_g") if groups > 1 else dealt
+    return spread.groupBy("_g").applyInArrow(run, f"container long, {key} {kind}, piece int, pieces int, start int, tokens int, proved boolean")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(sizes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pack(sizes(docs, "doc_id", "text"), "doc_id", rows=docs.count())  # counted from the files' metadata; no text is read for it
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,10 +323,10 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the fewest that could hold all tokens, and the share of room left over."""
-    c = _packed(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("t"))
+    """Containers used, the fewest that could hold all tokens, the share of room left over, and containers of groups whose search its budget ended."""
+    c = _packed(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("t"), F.min("proved").alias("p"))
     n, t = F.count("*"), F.sum("t")
-    return c.agg(n.alias("containers"), F.ceil(t / CAPACITY).alias("at_least"), F.max("t").alias("fullest"), F.round(1 - t / (n * CAPACITY), 6).alias("left_over"))
+    return c.agg(n.alias("containers"), F.ceil(t / CAPACITY).alias("at_least"), F.max("t").alias("fullest"), F.round(1 - t / (n * CAPACITY), 6).alias("left_over"), F.count_if(~F.col("p")).alias("not_proved"))
 
 
 QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p6_fill_report": p6_fill_report}

@@ -47,10 +47,62 @@ def test_never_worse_than_best_fit_and_close_to_the_bound():
         assert len(got) <= len(P.best_fit(items, 2048))
 
 
-def test_fillings_are_undominated():
+def test_fillings_are_all_undominated_ones_in_order_of_waste():
     have = {50: 1, 30: 2, 20: 1, 10: 1}
-    got = P.fillings(60, have, [50, 30, 20, 10], 60, 5, 1000)
-    assert got[0][0] == 0
+    assert list(P.fillings(60, have, [50, 30, 20, 10], 60)) == [(0, (50, 10)), (0, (30, 30))]  # 30 + 20 + 10: 50 could stand for the first two
+    rnd = random.Random(3)
+    for _ in range(60):
+        items = [rnd.randrange(1, 30) for _ in range(8)]
+        have = {n: items.count(n) for n in items}
+        room = rnd.randrange(10, 60)
+        every = set()
+        for mask in range(1 << len(items)):
+            f = tuple(sorted((items[i] for i in range(len(items)) if mask >> i & 1), reverse=True))
+            if sum(f) <= room:
+                every.add(f)
+
+        def beaten(f):
+            unused = [n for n in have if have[n] > f.count(n)]
+            w = room - sum(f)
+            sums = {sum(f[i] for i in range(len(f)) if m >> i & 1) for m in range(1, 1 << len(f)) if bin(m).count("1") > 1}
+            return any(u <= w or any(x < u <= x + w for x in f) or any(x <= u <= x + w for x in sums) for u in unused)
+
+        got = list(P.fillings(room, have, sorted(have, reverse=True), room))
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and len(got) == len(set(got))
+        assert {f for _, f in got} == {f for f in every if not beaten(f)}
+
+
+def test_bound_never_exceeds_the_fewest():
+    rnd = random.Random(5)
+    for _ in range(40):
+        items = sorted((rnd.randrange(1, 70) for _ in range(8)), reverse=True)
+        assert -(-sum(items) // 100) <= P.lower_bound(items, 100) <= brute(items, 100)
+    assert P.lower_bound([60, 60, 45, 45, 41], 100) == 4  # by sums alone it is 3
+
+
+def planted(seed, bins, per, capacity=P.CAPACITY):
+    rnd = random.Random(seed)
+    items = []
+    for _ in range(bins):
+        cuts = [0, *sorted(rnd.sample(range(1, capacity), per - 1)), capacity]
+        items += [b - a for a, b in zip(cuts, cuts[1:])]
+    return sorted(items, reverse=True)
+
+
+@pytest.mark.parametrize("per", (3, 4))
+@pytest.mark.parametrize("seed", range(10))
+def test_planted_perfect_packings_are_found(seed, per):
+    items = planted(seed, 15 if per == 3 else 30, per)
+    got, proved = P.solve(items, P.CAPACITY)
+    check(items, got, P.CAPACITY)
+    assert proved and len(got) == (15 if per == 3 else 30) and len(P.best_fit(items, P.CAPACITY)) > len(got)
+
+
+def test_the_budget_ends_a_search_and_says_so():
+    items = planted(0, 60, 3)
+    got, proved = P.solve(items, P.CAPACITY, steps=500)
+    check(items, got, P.CAPACITY)
+    assert not proved and len(got) == len(P.best_fit(items, P.CAPACITY))
 
 
 def docs(spark, texts):
