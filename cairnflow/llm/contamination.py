@@ -8,16 +8,16 @@ reach to both sides with 0, 1, 2 ... edits is computed, and the best passage is
 Places are mapped back to the characters of the original text.
 
 Defined cases. Null or empty text: no row. Items shorter than RUN words: never found. Repeated rows and repeated items
-are each reported. A document that holds several items, or an item several times, gives one row per item. The automaton
-is bounded: more than MAX_ITEM_WORDS item words are an error, to be split into several runs.
+are each reported. A document that holds several items, or an item several times, gives one row per item. An automaton
+holds at most MAX_ITEM_CHARS characters of items; more items are dealt to several automata, and the texts run through each.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +29,15 @@ RUN = 30
 ONE_IN = 10
 #: Words in a row that survive in any passage of RUN words or more with one edit in ten: (30 - 3) / 4, rounded up.
 SEED = 7
-#: Bound of the automaton, which every task holds.
-MAX_ITEM_WORDS = 5_000_000
+#: Characters of items in one automaton, which every task holds; so its words are fewer than there are code points.
+MAX_ITEM_CHARS = 2_000_000
+#: Spellings remembered by a worker.
+SPELLINGS = 400_000
 
-_WORD = re.compile("[^\\W_](?:[^\\W_]|[̀-ͯ­​-‍⁠﻿])*")
+_WORD = re.compile("[^\\W_]+(?:[̀-ͯ­​-‍⁠﻿][^\\W_]*)*")
 _FIRST = 0x100  # word numbers are code points from here; 1 stands for every other word
 
 
-@lru_cache(maxsize=200_000)
 def plain(word: str) -> str:
     """A word without letter case and accents."""
     w = unicodedata.normalize("NFKD", word.casefold())
@@ -44,15 +45,9 @@ def plain(word: str) -> str:
     return w.replace("ł", "l").replace("ø", "o").replace("đ", "d").replace("ı", "i")
 
 
-def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Plain words of a text and the characters each covers."""
-    out, spans = [], []
-    for m in _WORD.finditer(text):
-        w = plain(m.group())
-        if w:
-            out.append(w)
-            spans.append(m.span())
-    return out, spans
+def words(text: str) -> list[str]:
+    """Plain words of a text."""
+    return [w for w in map(plain, _WORD.findall(text)) if w]
 
 
 def code_point(i: int) -> str:
@@ -60,6 +55,21 @@ def code_point(i: int) -> str:
     return chr(i if i < 0xD800 else i + 0x800)  # surrogates are no characters
 
 
+class Codes(dict):
+    """The character that stands for a word as it is spelled; the empty string where nothing of it counts."""
+
+    def __init__(self, numbers: dict[str, str]):
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> str:
+        w = plain(word)
+        code = self.numbers.get(w, "\x01") if w else ""
+        if len(self) >= SPELLINGS:
+            self.clear()
+        self[word] = code
+        return code
+
+
 class Items:
     """The automaton and the numbered words of the test items."""
 
@@ -70,7 +80,7 @@ class Items:
         self.texts: list[str] = []
         self.numbers: dict[str, str] = {}
         for item, text in rows:
-            ws = words(text or "")[0]
+            ws = words(text or "")
             if len(ws) >= RUN:
                 self.ids.append(item)
                 self.texts.append("".join(self.numbers.setdefault(w, code_point(len(self.numbers))) for w in ws))
@@ -83,10 +93,15 @@ class Items:
             self.automaton.add_word(seed, at)
         if self.automaton is not None:
             self.automaton.make_automaton()
+        self.codes = Codes(self.numbers)
 
-    def encode(self, ws: list[str]) -> str:
-        get = self.numbers.get
-        return "".join([get(w, "\x01") for w in ws])
+    def encode(self, text: str) -> str:
+        """A character for each word of the text."""
+        return "".join(map(self.codes.__getitem__, _WORD.findall(text)))
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """The characters that each word of the text covers."""
+        return [m.span() for m in _WORD.finditer(text) if self.codes[m.group()]]
 
 
 def reach(a: str, b: str, edits: int) -> list[tuple[int, int]]:
@@ -134,12 +149,11 @@ def passage(doc: str, p: int, item: str, q: int) -> tuple[int, int, int, int] |
 
 def leaks(items: Items, text: str) -> dict[int, tuple[int, int, int, int]]:
     """Item id to (item words, edits, first character, character after the last) of its longest passage in the text."""
-    if items.automaton is None or len(text) < 2 * RUN:
+    if items.automaton is None:
         return {}
-    ws, spans = words(text)
-    if len(ws) < RUN - RUN // ONE_IN:
+    doc = items.encode(text)
+    if len(doc) < RUN - RUN // ONE_IN:
         return {}
-    doc = items.encode(ws)
     until: dict[tuple[int, int], int] = {}
     found: dict[int, tuple[int, int, int, int]] = {}
     for end, at in items.automaton.iter(doc):
@@ -153,33 +167,64 @@ def leaks(items: Items, text: str) -> dict[int, tuple[int, int, int, int]]:
                 continue
             got = passage(doc, p, items.texts[k], q)
             if got and ((old := found.get(items.ids[k])) is None or got[0] > old[0]):
-                found[items.ids[k]] = (got[0], got[1], spans[got[2]][0], spans[got[3]][1])
-    return found
+                found[items.ids[k]] = got
+    if not found:
+        return {}
+    spans = items.spans(text)
+    return {item: (n, edits, spans[a][0], spans[b][1]) for item, (n, edits, a, b) in found.items()}
+
+
+_held: dict[str, Items] = {}  # automata of this worker, the latest few
+
+
+def _automaton(name: str, shared) -> Items:
+    if name not in _held:
+        while len(_held) >= 4:
+            del _held[next(iter(_held))]
+        _held[name] = Items(shared.value)
+    return _held[name]
+
+
+def item_shards(items: DataFrame, item_key: str, item_texts: list[str]) -> tuple[DataFrame, int]:
+    """items with the number of their automaton (_shard), and how many there are; none holds more than MAX_ITEM_CHARS, but for a single item."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in item_texts), F.lit(0))
+    shards = 1
+    while True:
+        dealt = items.withColumn("_shard", F.pmod(F.xxhash64(item_key), F.lit(shards)).cast("int"))
+        most = dealt.groupBy("_shard").agg(F.sum(size).alias("n"), F.countDistinct(item_key).alias("k")).where(f"n > {MAX_ITEM_CHARS} and k > 1").agg(F.max("n").alias("n")).first()["n"]
+        if most is None:
+            return dealt, shards
+        shards *= 2
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str]) -> DataFrame:
     """(key, item_key, words, edits, first, last): the passages of items in the documents."""
-    size = items.agg(F.coalesce(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in item_texts), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
-    if size > 4 * MAX_ITEM_WORDS:
-        raise ValueError("the items exceed the automaton's bound; split them")
-    rows = [(r[0], r[1]) for c in item_texts for r in items.where(F.col(c).isNotNull()).select(item_key, c).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)  # bounded by the check above
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
-    held: list[Items] = []
+    dealt, shards = item_shards(items.select(item_key, *item_texts), item_key, item_texts)
+    found = None
+    for shard in range(shards):
+        rows = [(r[0], r[1]) for c in item_texts for r in dealt.where((F.col("_shard") == shard) & F.col(c).isNotNull()).select(item_key, c).collect()]  # bounded, see item_shards
+        part = _find(docs, key, text, docs.sparkSession.sparkContext.broadcast(rows), item_key, kinds)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _find(docs: DataFrame, key: str, text: str, shared, item_key: str, kinds: tuple[str, str]) -> DataFrame:
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Items(shared.value))
+        items = _automaton(name, shared)
         for b in batches:
             out: list[tuple] = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    out += [(i, item, *x) for item, x in leaks(held[0], t).items()]
+                    out += [(i, item, *x) for item, x in leaks(items, t).items()]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])],
+                [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), *(pa.array(c, pa.int32()) for c in cols[2:])],
                 names=[key, item_key, "words", "edits", "first", "last"])
 
+    kind = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
     return docs.select(key, text).mapInArrow(run, f"{key} {kinds[0]}, {item_key} {kinds[1]}, words int, edits int, first int, last int")
 
 

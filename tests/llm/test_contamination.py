@@ -88,3 +88,25 @@ def test_nulls_empties_repeats_and_long_texts(spark):
 def test_against_the_tables(spark, sf_dir):
     got = C.p7_passages(spark, sf_dir).collect()
     assert all(r["words"] >= C.RUN and r["edits"] * C.ONE_IN <= r["words"] for r in got)
+
+
+def test_short_words_in_single_blanks_are_found():
+    letters = [chr(ord("a") + i % 26) for i in range(30)]
+    text = " ".join(letters[:9] + letters[10:19] + letters[20:29])  # 27 of the 30 words, 53 characters
+    assert 1 in C.leaks(C.Items([(1, " ".join(letters))]), text)
+
+
+def test_several_automata_find_what_one_finds(spark, monkeypatch):
+    rnd = random.Random(12)
+    items = [(i, " ".join(item(rnd)), " ".join(item(rnd))) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"before {items[i % 12][1 + i % 2]} after {items[(i * 5) % 12][1]}", "x") for i in range(40)], SCHEMA.replace("item_id", "more"))
+    frame = spark.createDataFrame(items, "item_id string, text string, text_ref string")
+    find = lambda: sorted(tuple(r) for r in C.find_leaks(docs, "doc_id", "text", frame, "item_id", ["text", "text_ref"]).collect())
+    whole = find()
+    monkeypatch.setattr(C, "MAX_ITEM_CHARS", 1_500)
+    assert C.item_shards(frame, "item_id", ["text", "text_ref"])[1] > 2
+    assert find() == whole and len({r[:2] for r in whole}) >= 40
+
+
+def test_words_are_spelled_with_their_marks():
+    assert C.words("nai\u0308ve co\u00adop \u0301x _a_b 12") == ["naive", "coop", "x", "a", "b", "12"]
