@@ -3,7 +3,8 @@
 Texts are read as words: letter case, accents, punctuation and white space do not count. Every word of the test items has
 a number, so a text is a string of word numbers. One Aho-Corasick automaton holds every run of SEED words of the items'
 texts and reference texts; a document is scanned once. A run of RUN item words with at most one word in ten changed,
-missing or added must hold SEED words in a row untouched, so no case is missed by the seeds. From a seed, the furthest
+missing or added must hold SEED words in a row untouched, and three such seeds or more, so no case is missed by the seeds.
+How many of an item's seeds a text holds bounds the edits of any passage in it. From a seed, the furthest
 reach to both sides with 0, 1, 2 ... edits is computed, and the best passage is accepted if it is long and clean enough.
 Places are mapped back to the characters of the original text.
 
@@ -133,9 +134,8 @@ def reach(a: str, b: str, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def passage(doc: str, p: int, item: str, q: int) -> tuple[int, int, int, int] | None:
+def passage(doc: str, p: int, item: str, q: int, edits: int) -> tuple[int, int, int, int] | None:
     """The longest passage around the seed at doc[p], item[q]: (item words, edits, first and last word of the document)."""
-    edits = len(item) // ONE_IN
     right = reach(doc[p + SEED : p + SEED + len(item) + edits], item[q + SEED :], edits)
     left = reach(doc[max(0, p - len(item) - edits) : p][::-1], item[:q][::-1], edits)
     best = None
@@ -154,19 +154,22 @@ def leaks(items: Items, text: str) -> dict[int, tuple[int, int, int, int]]:
     doc = items.encode(text)
     if len(doc) < RUN - RUN // ONE_IN:
         return {}
-    until: dict[tuple[int, int], int] = {}
-    found: dict[int, tuple[int, int, int, int]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
     for end, at in items.automaton.iter(doc):
-        p = end - SEED + 1
         for k, q in at:
-            d = (k, p - q)
+            hits.setdefault(k, []).append((end - SEED + 1, q))
+    found: dict[int, tuple[int, int, int, int]] = {}
+    for k, seeds in hits.items():
+        # of a passage of n words at least n - SEED + 1 - SEED * edits seeds are untouched, and edits are at most n / ONE_IN
+        if len(seeds) < RUN - SEED + 1 - SEED * (RUN // ONE_IN):
+            continue
+        edits = min(len(items.texts[k]) // ONE_IN, (len(seeds) + SEED - 1) // (ONE_IN - SEED))
+        until: dict[int, int] = {}
+        for p, q in seeds:
             # seeds that follow each other on a diagonal are one run, and were extended from its start
-            fresh = until.get(d, -1) < p
-            until[d] = p + 1
-            if not fresh:
-                continue
-            got = passage(doc, p, items.texts[k], q)
-            if got and ((old := found.get(items.ids[k])) is None or got[0] > old[0]):
+            fresh = until.get(p - q, -1) < p
+            until[p - q] = p + 1
+            if fresh and (got := passage(doc, p, items.texts[k], q, edits)) and ((old := found.get(items.ids[k])) is None or got[0] > old[0]):
                 found[items.ids[k]] = got
     if not found:
         return {}
