@@ -1,18 +1,20 @@
 """Problem 8: garbled text from wrong character encoding.
 
-A character trigram model, smoothed by its bigrams, is trained on clean records: on a column known to be clean, and on
+A character trigram model, smoothed by its bigrams and these by single characters, is trained on clean records: on a column known to be clean, and on
 the texts that show no sign of damage. Its counts cover all records and live in a table of fixed size, indexed by hash,
 so its size does not grow with the data. Every candidate chain of decoding (what bytes meant) and encoding (what they
 were read as) is scored:
 
 * UTF-8 read as a single-byte encoding, once or several times over, also where the text was put in small letters
   afterwards: the places whose bytes are valid UTF-8 are candidates;
-* one single-byte encoding read as another: words with characters outside ASCII are candidates, but for those of four or
-  more characters that are likely as they stand (FINE): a long word with one damaged letter may be passed over.
+* one single-byte encoding read as another: all words with characters outside ASCII are candidates under every chain that
+  changes them into characters that clean records hold. Words are scored many at once, each spelling once.
 
-The gain of a chain is the log likelihood of what it restores less that of what stands, over the places it improves.
+No character is taken for less likely than NOVEL, since authors write rare ones too. What follows the last word of a record
+is not known, since records are cut. The gain of a chain is the log likelihood of what it restores less that of what stands, over the places it improves.
 The likeliest chain is accepted beyond a margin, which is validated on all clean records, each under a model of the
-parts of the records that hold neither it nor its repeats: it exceeds any gain seen there. Damage may cover the whole text or some places; only those are restored. Replacement
+parts of the records that hold neither it nor its repeats: it exceeds any gain seen there. Chains are undone until none
+gains the margin. Damage may cover the whole text or some places; only those are restored. Replacement
 characters and control characters left by a decoder mark a text, though nothing restores what they stand for.
 
 Defined cases. Null or empty text: no row. Text in ASCII only: never found. Long texts are read whole. Repeated rows
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +43,16 @@ AT_UNI = AT_BI + BI
 SIZE = AT_UNI + UNI
 #: A restored text only holds characters that clean records hold at least so often.
 SEEN = 3
-#: Words at least this likely per character are not tried as single-byte damage.
-FINE = -2.5
+#: The least likelihood of a character in its context.
+NOVEL = 1e-6
+#: Words of an encoding pair count if they gain more than this.
+WORD_GAIN = 3.0
+#: Characters of text whose words are scored at once, about; and words remembered by a worker.
+SLICE, WORDS = 2_000_000, 500_000
 #: Parts of the records, by hash of the text. All clean records validate the margin, each by a model of the other parts.
 FOLDS = 4
 #: The least margin, in natural logs, for valid UTF-8 and for single bytes, whatever the validation says.
 LEAST_UTF8, LEAST_BYTES = 3.0, 9.0
-ROUNDS = 3
 #: Readings of a run that are listed one by one; of more, the likeliest is found without listing them.
 MANY = 64
 
@@ -87,6 +93,8 @@ class Reader:
         if encoding == "cp1252":
             parts.append("ã " if small else "Ã ")  # the second byte of à is a no-break space, often made a plain one
             self.byte[" "] = [0xA0]
+        self.leads = {c for c, bs in self.byte.items() if any(0xC2 <= b <= 0xF4 for b in bs)} | {"ã", "Ã"} & set(self.byte)
+        self.follows = {c for c, bs in self.byte.items() if any(0x80 <= b <= 0xBF for b in bs)}
         # where a character stands for several bytes, short forms must not hide the longer ones
         self.pattern = re.compile(f"(?:{'|'.join(parts[::-1] if small else parts)})+")
 
@@ -148,8 +156,8 @@ class Reader:
         return [max(ends)[1]] if ends else []
 
 
-def undone(model: "Model", reader: Reader, run: str, depth: int = ROUNDS, before: str = "  ", after: str = "  ") -> list[str]:
-    """What clean text a run may have been, also where it was read wrongly several times over.
+def undone(model: "Model", reader: Reader, run: str, before: str = "  ", after: str = "  ") -> list[str]:
+    """What clean text a run may have been, also where it was read wrongly several times over; each time makes it shorter.
 
     Of more than MANY readings the likeliest; such a run is not tried as read wrongly several times over.
     """
@@ -157,11 +165,11 @@ def undone(model: "Model", reader: Reader, run: str, depth: int = ROUNDS, before
     if got is None:
         return reader.likeliest(model, run, before, after)
     out = [o for o in got if model.known(o)]
-    if out or depth <= 1:
+    if out:
         return out
     for o in got:
-        for r in READERS:
-            new = r.pattern.sub(lambda m: next(iter(undone(model, r, m.group(), depth - 1)), m.group()), o)
+        for r in possible_readers(o):
+            new = r.pattern.sub(lambda m: next(iter(undone(model, r, m.group())), m.group()), o)
             if new != o and model.known(new):
                 out.append(new)
     return list(dict.fromkeys(out))
@@ -170,6 +178,28 @@ def undone(model: "Model", reader: Reader, run: str, depth: int = ROUNDS, before
 READERS = [Reader(e) for e in READ_AS] + [Reader("cp1252", small=True)]
 
 
+def _bits(sets: list[set[str]]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, chars in enumerate(sets):
+        for c in chars:
+            out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+_LEADS, _FOLLOWS = _bits([r.leads for r in READERS]), _bits([r.follows for r in READERS])
+_SPACED = [r for r in READERS if " " in r.byte]
+
+
+def possible_readers(text: str) -> list[Reader]:
+    """The readers that may find a place in a text, by the characters it holds."""
+    lead = follow = 0
+    for c in set(text):
+        if c > "\x7f":
+            lead |= _LEADS.get(c, 0)
+            follow |= _FOLLOWS.get(c, 0)
+    return [r for i, r in enumerate(READERS) if lead >> i & 1 and (follow >> i & 1 or r in _SPACED) and r.pattern.search(text)]
+
+
 def _swaps() -> list[tuple[str, dict[int, str]]]:
     """(name, map of characters) for one single-byte encoding read as another."""
     out, seen = [], set()
@@ -194,34 +224,64 @@ def _swaps() -> list[tuple[str, dict[int, str]]]:
 
 
 SWAPS = _swaps()
+_MAPS = [m for _, m in SWAPS]
+_CHANGED = _bits([{chr(c) for c, d in m.items() if chr(c) != d} for m in _MAPS])
 _HIGH = re.compile("[^\x00-\x7f]")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
 #: What no clean record is trained on with: two or more characters that are valid UTF-8 in the commonest readings.
 _SUSPECT = re.compile("|".join(r.pattern.pattern for r in (READERS[0], READERS[1], READERS[3], READERS[4])) + "|[\x80-\x9f�]")
-_WORDS = re.compile("[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")  # no-break spaces and soft hyphens may be damaged letters
+_WORD = re.compile("[^ \t\r\n]+")  # no-break spaces and soft hyphens may be damaged letters
+
+
+_M32 = 0xFFFFFFFF
+# Multipliers of the hashes; the same for single characters and for arrays of them.
+_A, _B, _C, _D, _E, _F, _G, _H = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0x2545F491
+_A64, _B64, _C64, _D64, _E64, _F64, _G64, _H64, _M64 = (np.uint64(v) for v in (_A, _B, _C, _D, _E, _F, _G, _H, _M32))
 
 
 def _hash3(a, b, c):
-    return (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35 & 0xFFFFFFFF) * 0x27D4EB2F >> 11 & TRI - 1
+    return (a * _A + b * _B + c * _C & _M32) * _D >> 11 & TRI - 1
 
 
 def _hash3b(a, b, c):
-    return (a * 0x165667B1 + b * 0xD3A2646D + c * 0xFD7046C5 & 0xFFFFFFFF) * 0x2545F491 >> 9 & TRI - 1
+    return (a * _E + b * _F + c * _G & _M32) * _H >> 9 & TRI - 1
 
 
 def _hash2(a, b):
-    return (a * 0x9E3779B1 + b * 0x85EBCA6B & 0xFFFFFFFF) * 0x27D4EB2F >> 13 & BI - 1
+    return (a * _A + b * _B & _M32) * _D >> 13 & BI - 1
+
+
+def _hashes3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (
+        ((a * _A64 + b * _B64 + c * _C64 & _M64) * _D64 >> np.uint64(11)) & np.uint64(TRI - 1),
+        ((a * _E64 + b * _F64 + c * _G64 & _M64) * _H64 >> np.uint64(9)) & np.uint64(TRI - 1),
+    )
+
+
+def _hashes2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * _A64 + b * _B64 & _M64) * _D64 >> np.uint64(13)) & np.uint64(BI - 1)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+Word = tuple[str, bool]  # a word, and whether it is known that a blank follows
 
 
 class Model:
-    """Trigram counts by hash, backed by bigrams; scores strings by their natural log likelihood."""
+    """Trigram counts by hash, backed by bigrams and single characters; scores strings by their natural log likelihood."""
 
     def __init__(self, counts: np.ndarray):
         self.tri, self.tri2 = counts[:TRI], counts[TRI:AT_BI]
         self.bi, self.uni = counts[AT_BI:AT_UNI], counts[AT_UNI:]
-        self.empty = not self.uni.any()
+        self.total = int(self.uni.sum())
+        self.empty = self.total == 0
+        self.one = [memoryview(np.ascontiguousarray(x)) for x in (self.tri, self.tri2, self.bi, self.uni)]
         self.cache: dict[str, float] = {}
-        self.words: dict[str, float] = {}
+        self.words: dict[Word, list[tuple[int, float, str]]] = {}
+        # for each character, the single-byte chains that turn it into one that clean records do not hold
+        self.strange = _bits([{chr(c) for c, d in m.items() if not self.known(d)} for m in _MAPS])
 
     def score(self, s: str) -> float:
         """log P of the characters after the first two, each given the two before it."""
@@ -229,17 +289,17 @@ class Model:
         if got is None:
             x = [ord(c) for c in s]
             got = 0.0
+            tri, tri2, bi, uni = self.one
             for a, b, c in zip(x, x[1:], x[2:]):
-                ab, bc = int(self.bi[_hash2(a, b)]), int(self.bi[_hash2(b, c)])
-                abc = min(int(self.tri[_hash3(a, b, c)]), int(self.tri2[_hash3b(a, b, c)]))
-                back = (bc + 0.02) / (int(self.uni[b & UNI - 1]) + 2.0)  # about P(c | b)
-                got += math.log((abc + 2.0 * min(back, 1.0)) / (ab + 2.0))
+                abc = min(tri[_hash3(a, b, c)], tri2[_hash3b(a, b, c)])
+                share = (uni[c & UNI - 1] + 0.02) / (self.total + 1.0)
+                back = min((bi[_hash2(b, c)] + 2.0 * share) / (uni[b & UNI - 1] + 2.0), 1.0)  # about P(c | b)
+                got += math.log(max((abc + 2.0 * back) / (bi[_hash2(a, b)] + 2.0), NOVEL))
             if len(self.cache) > 200_000:
                 self.cache.clear()
             self.cache[s] = got
         return got
 
-
     def known(self, s: str) -> bool:
         """Whether clean records hold every character above ASCII."""
         return all(c < "\x80" or self.uni[ord(c) & UNI - 1] >= SEEN for c in s)
@@ -249,31 +309,99 @@ class Model:
         low = s.lower()
         return self.score(s) if low == s or len(low) != len(s) else max(self.score(s), self.score(low) - 1.0)
 
-    def word(self, w: str) -> float:
-        """log P of a word between blanks: its first character after a blank, then trigrams."""
-        got = self.words.get(w)
-        if got is None:
-            low = w.lower()
-            got = max(math.log((int(self.bi[_hash2(32, ord(x[0]))]) + 0.05) / (int(self.uni[32]) + 1.0)) + self.score(f" {x} ") - lost for x, lost in ((w, 0.0), (low, 1.0)) if x)
-            if len(self.words) > 200_000:
-                self.words.clear()
-            self.words[w] = got
-        return got
+    def scores(self, words: list[str], closed: list[bool]) -> np.ndarray:
+        """log P of words, all at once: their first character after a blank, then trigrams, with a blank after the closed ones."""
+        if not words:
+            return np.zeros(0)
+        size = np.array([len(w) + 2 for w in words])
+        first = np.cumsum(size) - size
+        x = _codes("".join(f" {w} " for w in words))
+        a, b, c = x[:-2], x[1:-1], x[2:]
+        h, h2 = _hashes3(a, b, c)
+        abc = np.minimum(self.tri[h], self.tri2[h2])
+        share = (self.uni[c & np.uint64(UNI - 1)] + 0.02) / (self.total + 1.0)
+        back = np.minimum((self.bi[_hashes2(b, c)] + 2.0 * share) / (self.uni[b & np.uint64(UNI - 1)] + 2.0), 1.0)
+        p = np.append(np.log(np.maximum((abc + 2.0 * back) / (self.bi[_hashes2(a, b)] + 2.0), NOVEL)), (0.0, 0.0))
+        end = first + size - 1
+        p[end] = p[end - 1] = 0.0  # these lead from one word to the next
+        p[(end - 2)[~np.array(closed)]] = 0.0
+        begun = np.maximum((self.bi[_hashes2(x[first], x[first + 1])] + 0.05) / (self.uni[32] + 1.0), NOVEL)
+        return np.add.reduceat(p, first) + np.log(begun)
+
+    def learn(self, words: Iterable[Word]) -> None:
+        """Scores each word under every single-byte chain that makes another of it; keeps (chains as bits, gain, word) of the gains that count."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        texts: list[str] = []
+        closed: list[bool] = []
+        tried: list[dict[str, int]] = []
+
+        def ask(s: str, c: bool) -> None:
+            low = s.lower()
+            for x in (s, low) if len(low) == len(s) else (s, s):
+                texts.append(x)
+                closed.append(c)
+
+        for w, c in new:
+            bits = strange = 0
+            for x in set(w):
+                if x > "\x7f":
+                    bits |= _CHANGED.get(x, 0)
+                    strange |= self.strange.get(x, 0)
+            bits &= ~strange
+            to: dict[str, int] = {}
+            while bits:
+                low = bits & -bits
+                bits ^= low
+                v = w.translate(_MAPS[low.bit_length() - 1])
+                to[v] = to.get(v, 0) | low
+            to = {v: k for v, k in to.items() if self.known(v)}
+            tried.append(to)
+            if to:
+                for s in (w, *to):
+                    ask(s, c)
+        got = self.scores(texts, closed).reshape(-1, 2)
+        best = np.maximum(got[:, 0], got[:, 1] - 1.0).tolist()  # capitals alone are no damage
+        at = 0
+        for key, to in zip(new, tried):
+            out = []
+            if to:
+                for i, (v, k) in enumerate(to.items(), at + 1):
+                    if best[i] - best[at] > WORD_GAIN:
+                        out.append((k, best[i] - best[at], v))
+                at += 1 + len(to)
+            self.words[key] = out
+
+
+def odd_words(text: str) -> list[tuple[int, int, Word]]:
+    """Words with characters above ASCII and where they stand."""
+    return [(*m.span(), (m.group(), m.end() < len(text))) for m in _WORD.finditer(text) if not m.group().isascii()]
+
+
+def slices(texts: list[str | None]) -> Iterator[list[int]]:
+    """Places of texts above ASCII, so many at once as hold about SLICE characters."""
+    part: list[int] = []
+    held = 0
+    for i, t in enumerate(texts):
+        if t and not t.isascii():
+            part.append(i)
+            held += len(t)
+            if held > SLICE:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
 
 
 def counts_of(texts: list[str]) -> np.ndarray:
     """Trigram and bigram counts of texts, by hash."""
-    x = np.frombuffer("\n".join(f"  {t}  " for t in texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    x = _codes("\n".join(f"  {t}  " for t in texts))
     out = np.zeros(SIZE, dtype=np.int64)
     if len(x) > 2:
-        m = np.uint64(0xFFFFFFFF)
-        a, b, c = x[:-2], x[1:-1], x[2:]
-        k = {n: np.uint64(v) for n, v in (("a", 0x9E3779B1), ("b", 0x85EBCA6B), ("c", 0xC2B2AE35), ("d", 0x27D4EB2F), ("e", 0x165667B1), ("f", 0xD3A2646D), ("g", 0xFD7046C5), ("h", 0x2545F491))}
-        tri = ((a * k["a"] + b * k["b"] + c * k["c"] & m) * k["d"] >> np.uint64(11)) & np.uint64(TRI - 1)
-        tri2 = ((a * k["e"] + b * k["f"] + c * k["g"] & m) * k["h"] >> np.uint64(9)) & np.uint64(TRI - 1)
-        bi = ((a * k["a"] + b * k["b"] & m) * k["d"] >> np.uint64(13)) & np.uint64(BI - 1)
-        for at, size, h in ((0, TRI, tri), (TRI, TRI, tri2), (AT_BI, BI, bi), (AT_UNI, UNI, x & np.uint64(UNI - 1))):
-            out[at : at + size] = np.bincount(h.astype(np.int64), minlength=size)
+        h, h2 = _hashes3(x[:-2], x[1:-1], x[2:])
+        for at, size, k in ((0, TRI, h), (TRI, TRI, h2), (AT_BI, BI, _hashes2(x[:-2], x[1:-1])), (AT_UNI, UNI, x & np.uint64(UNI - 1))):
+            out[at : at + size] = np.bincount(k.astype(np.int64), minlength=size)
     return out
 
 
@@ -339,26 +467,16 @@ def _utf8_gain(model: Model, text: str, reader: Reader) -> tuple[float, list[tup
     return total, edits
 
 
-def _odd_words(model: Model, text: str) -> list[tuple[int, int, str]]:
-    """Words with characters above ASCII that are not likely as they stand."""
-    return [(*m.span(), w) for m in _WORDS.finditer(text) if model.word(w := m.group()) < FINE * len(w) or len(w) < 4]
-
-
-def _swap_gain(model: Model, words: list[tuple[int, int, str]], swap: dict[int, str], name: str, memo: dict) -> tuple[float, list[tuple[int, int, str]]]:
-    total, edits = 0.0, []
-    for a, b, w in words:
-        got = memo.get((name, w))
-        if got is None:
-            v = w.translate(swap)
-            got = (model.word(v) - model.word(w), v) if v != w and model.known(v) else (0.0, w)
-            if len(memo) > 500_000:
-                memo.clear()
-            memo[(name, w)] = got
-        gain, v = got
-        if gain > 3.0:
-            total += gain
-            edits.append((a, b, v))
-    return total, edits
+def _swap_gains(model: Model, words: list[tuple[int, int, Word]]) -> dict[int, float]:
+    """Gain of each single-byte chain (a bit each) over the words it improves; the model has learnt them."""
+    total: dict[int, float] = {}
+    for _, _, w in words:
+        for bits, gain, _ in model.words[w]:
+            while bits:
+                low = bits & -bits
+                bits ^= low
+                total[low] = total.get(low, 0.0) + gain
+    return total
 
 
 def _apply(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -369,25 +487,25 @@ def _apply(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def restore(model: Model, text: str, margins: tuple[float, float], memo: dict | None = None) -> tuple[str, list[str], float]:
+def restore(model: Model, text: str, margins: tuple[float, float]) -> tuple[str, list[str], float]:
     """(restored text, chains undone, gain); no chains where nothing was found."""
-    memo = {} if memo is None else memo
     chains: list[str] = []
     gained = 0.0
-    for _ in range(ROUNDS):
-        if not _HIGH.search(text):
-            break
+    while _HIGH.search(text):  # every round gains more than a margin, and likelihoods end at 0
         best = (0.0, [], "")
-        for r in READERS:
-            if r.pattern.search(text):
-                g, e = _utf8_gain(model, text, r)
-                if g > best[0]:
-                    best = (g, e, f"utf_8 read as {r.name}")
+        for r in possible_readers(text):
+            g, e = _utf8_gain(model, text, r)
+            if g > best[0]:
+                best = (g, e, f"utf_8 read as {r.name}")
         margin = margins[0]
-        for name, swap in SWAPS if (words := _odd_words(model, text)) else []:
-            g, e = _swap_gain(model, words, swap, name, memo)
-            if g > margins[1] and (g > best[0] or best[0] <= margins[0]):
-                best, margin = (g, e, name), margins[1]
+        words = odd_words(text)
+        model.learn(w for _, _, w in words)
+        total = _swap_gains(model, words)
+        if total:
+            chain = max(total, key=lambda k: (total[k], -k))
+            if total[chain] > margins[1] and (total[chain] > best[0] or best[0] <= margins[0]):
+                edits = [(a, b, v) for a, b, w in words for bits, _, v in model.words[w] if bits & chain]
+                best, margin = (total[chain], edits, SWAPS[chain.bit_length() - 1][0]), margins[1]
         if best[0] <= margin:
             break
         text, gained = _apply(text, best[1]), gained + best[0]
@@ -395,15 +513,16 @@ def restore(model: Model, text: str, margins: tuple[float, float], memo: dict |
     return text, chains, gained
 
 
-def _most(model: Model, text: str | None, memo: dict) -> tuple[float, float]:
-    """The greatest gains, as valid UTF-8 and as single bytes, that a clean record shows."""
-    if not text or not _HIGH.search(text) or _CONTROL.search(text):
-        return 0.0, 0.0
-    words = _odd_words(model, text)
-    return (
-        max((_utf8_gain(model, text, r)[0] for r in READERS if r.pattern.search(text)), default=0.0),
-        max((_swap_gain(model, words, swap, name, memo)[0] for name, swap in SWAPS), default=0.0) if words else 0.0,
-    )
+def most_gains(model: Model, texts: list[str]) -> list[tuple[float, float]]:
+    """The greatest gains, as valid UTF-8 and as single bytes, that each text shows; none for texts with control characters."""
+    out = [(0.0, 0.0)] * len(texts)
+    for part in slices(texts):
+        part = [i for i in part if not _CONTROL.search(texts[i])]
+        words = {i: odd_words(texts[i]) for i in part}
+        model.learn(w for ws in words.values() for _, _, w in ws)
+        for i in part:
+            out[i] = (max((_utf8_gain(model, texts[i], r)[0] for r in possible_readers(texts[i])), default=0.0), max(_swap_gains(model, words[i]).values(), default=0.0))
+    return out
 
 
 def _margins(utf8: float, single: float) -> tuple[float, float]:
@@ -412,8 +531,7 @@ def _margins(utf8: float, single: float) -> tuple[float, float]:
 
 def validated_margins(model: Model, clean: list[str]) -> tuple[float, float]:
     """Margins above every gain that clean records show."""
-    memo: dict = {}
-    most = [_most(model, t, memo) for t in clean]
+    most = most_gains(model, clean)
     return _margins(max((m[0] for m in most), default=0.0), max((m[1] for m in most), default=0.0))
 
 
@@ -421,16 +539,30 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
 
 
+_held: dict[str, list[Model]] = {}  # models of this worker, the latest two
+
+
+def _models(name: str, shared) -> list[Model]:
+    if name not in _held:
+        while len(_held) >= 2:
+            del _held[next(iter(_held))]
+        _held[name] = [Model(c) for c in shared.value]
+    return _held[name]
+
+
 def clean_gains(clean: DataFrame, parts: np.ndarray) -> DataFrame:
     """(t, utf8, single): the greatest gains of every clean record above ASCII, under the counts of the parts it is not in."""
     shared = clean.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0) - parts))  # FOLDS * SIZE numbers
-    held: list = []
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.extend((Model(c), {}) for c in shared.value)
+        models = _models(name, shared)
         for b in batches:
-            rows = [(t, *_most(held[k][0], t, held[k][1])) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not t.isascii() and not held[k][0].empty]
+            by: dict[int, list[str]] = {}
+            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not t.isascii() and not models[k].empty:
+                    by.setdefault(k, []).append(t)
+            rows = [(t, *most) for k, texts in by.items() for t, most in zip(texts, most_gains(models[k], texts))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], names=["t", "utf8", "single"])
 
     texts = clean.select(F.col(clean.columns[0]).alias("t")).where("t is not null").withColumn("k", _fold("t"))
@@ -442,22 +574,22 @@ def find_garbled(docs: DataFrame, key: str, text: str, clean: DataFrame) -> Data
     parts = train(clean, docs.select(text))
     most = clean_gains(clean, parts).agg(F.max("utf8"), F.max("single")).first()
     margins = _margins(most[0] or 0.0, most[1] or 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0)))  # SIZE numbers
+    shared = docs.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0))[None])  # SIZE numbers
     kind = dict(docs.dtypes)[key]
-    held: list = []
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.extend((Model(shared.value), {}))
-        m, memo = held
+        m = _models(name, shared)[0]
         for b in batches:
             rows, chains, gains, texts = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not t or t.isascii():
-                    continue
-                new, undone, gain = (t, [], 0.0) if m.empty else restore(m, t, margins, memo)
-                if undone or _CONTROL.search(t):
-                    rows.append(i), chains.append(undone), gains.append(gain), texts.append(new if undone else None)
+            every = b.column(1).to_pylist()
+            for part in slices(every):
+                m.learn(w for i in part for _, _, w in odd_words(every[i]))
+                for i in part:
+                    t = every[i]
+                    new, undone, gain = (t, [], 0.0) if m.empty else restore(m, t, margins)
+                    if undone or _CONTROL.search(t):
+                        rows.append(i), chains.append(undone), gains.append(gain), texts.append(new if undone else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(chains, pa.list_(pa.string())), pa.array(gains, pa.float64()), pa.array(texts, pa.string())], names=[key, "chains", "gain", "restored"])
 

@@ -104,8 +104,8 @@ def test_all_clean_records_validate_the_margins_and_none_its_own_counts(spark, c
     got = [(r["t"], r["single"]) for r in M.clean_gains(good, parts).collect()]
     assert len(got) == sum(not f"{t} {i}".isascii() for i, t in enumerate(clean * 2)) + 2
     fold = good.where(f"t = '{rare}'").select(M._fold("t")).first()[0]
-    own = M._most(M.Model(parts.sum(axis=0) - parts[fold]), rare, {})[1]
-    assert [g for t, g in got if t == rare] == [own, own] and own > M._most(whole, rare, {})[1]
+    own = M.most_gains(M.Model(parts.sum(axis=0) - parts[fold]), [rare])[0][1]
+    assert [g for t, g in got if t == rare] == [own, own] and own > M.most_gains(whole, [rare])[0][1]
 
 
 SCHEMA = "doc_id long, text string, chains string"
@@ -122,3 +122,40 @@ def test_table(spark, clean):
     assert M.find_garbled(docs.where("doc_id < 0"), "doc_id", "text", good).count() == 0
     none = M.find_garbled(docs, "doc_id", "text", good.where("t is null")).collect()
     assert {r["doc_id"] for r in none} == {5}
+
+
+def test_words_scored_together_as_one_by_one(model):
+    words = ["Straße", "stra\u00dfe", "é", "проверяет", "Łódź!", "x³", "a" * 50 + "é"]
+    for closed in (True, False):
+        got = model.scores(words, [closed] * len(words))
+        for w, g in zip(words, got):
+            first = max((int(model.bi[M._hash2(32, ord(w[0]))]) + 0.05) / (int(model.uni[32]) + 1.0), M.NOVEL)
+            assert abs(g - (__import__("math").log(first) + model.score(f" {w} " if closed else f" {w}"))) < 1e-9
+    assert model.scores([], []).tolist() == []
+
+
+def test_every_word_is_tried_under_every_chain(model):
+    word = "Brückenwärter"
+    bad = "Br\u00b3ckenw\u00e4rter"  # one letter of a long, otherwise likely word
+    model.learn([(bad, True)])
+    want = {}
+    for i, (_name, m) in enumerate(M.SWAPS):
+        v = bad.translate(m)
+        if v != bad and model.known(v):
+            want[v] = want.get(v, 0) | 1 << i
+    kept = {v: bits for bits, _gain, v in model.words[bad, True]}
+    assert all(want[v] == bits for v, bits in kept.items())
+    best = lambda s: max(model.scores([s, s.lower()], [True, True]) - [0.0, 1.0])
+    assert set(kept) == {v for v in want if best(v) - best(bad) > M.WORD_GAIN} and all(v != word or v in kept for v in want)
+
+
+def test_a_reader_is_never_passed_over():
+    rnd = random.Random(7)
+    alphabet = [c for r in M.READERS for c in r.byte] + list("ab ãÃ")
+    for _ in range(3000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 6)))
+        assert M.possible_readers(text) == [r for r in M.READERS if r.pattern.search(text)], text
+
+
+def test_a_long_text_without_blanks(model, margins):
+    assert M.restore(model, "a" * 60_000 + "é", margins)[1] == []
