@@ -5,7 +5,8 @@ names a date, the side of that date), the side (paid or received) and what its c
 memo says about the unit. The operator
 
 1. links records of the same quantity across sources: the two sides of one payment, and two deliveries of one payment;
-2. estimates for every pair of sources a robust scale (median of log ratios) and offset (median residual);
+2. estimates for every pair of sources a robust scale (median of log ratios) and offset (median residual, which every known
+   conversion wants to be as good as 0);
 3. propagates scales through the graph of sources, starting from the sources that state a whole unit by its usual name;
 4. snaps each scale to a known conversion: the value of one whole unit times a power of ten. What a text says in words
    picks the currency, and stands in for the estimate only where no linked records support one;
@@ -195,9 +196,9 @@ def links(stated: DataFrame) -> DataFrame:
         F.when(usable("paid"), F.col("paid_src")).alias("_pu"), F.when(usable("paid"), F.log10("paid_x")).cast("float").alias("_px"),
         F.when(usable("received"), F.col("received_src")).alias("_ru"), F.when(usable("received"), F.log10("received_x")).cast("float").alias("_rx"),
     )
-    # one shuffle of the narrow rows serves both kinds of link: the neighbour in the same delivery group, if any
-    w = Window.partitionBy("_k").orderBy("trans_id")
-    near = narrow.where("_pu is not null or _ru is not null").select("*", *(F.lag(c).over(w).alias(f"_b{c}") for c in ("_pu", "_px", "_ru", "_rx")))
+    # one shuffle of the narrow rows serves both kinds of link: the nearest delivery before it in the same group that has a number on that side
+    w = Window.partitionBy("_k").orderBy("trans_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = narrow.where("_pu is not null or _ru is not null").select("*", *(F.last(c, ignorenulls=True).over(w).alias(f"_b{c}") for c in ("_pu", "_px", "_ru", "_rx")))
     pairs = F.array(
         F.struct(F.col("_pu").alias("u"), F.col("_ru").alias("v"), (F.col("_px") - F.col("_rx")).alias("r"), F.col("_rx").alias("m"), F.lit(0).alias("kind")),
         F.struct(F.col("_pu").alias("u"), F.col("_b_pu").alias("v"), (F.col("_px") - F.col("_b_px")).alias("r"), F.col("_b_px").alias("m"), F.lit(1).alias("kind")),
@@ -207,14 +208,14 @@ def links(stated: DataFrame) -> DataFrame:
 
 
 def pair_estimates(linked: DataFrame) -> DataFrame:
-    """(u, v, n, scale10, offset): robust scale (as a power of ten) and offset of each pair of sources."""
+    """(u, v, links, scale10, offset, level): x_u is about 10 ** scale10 * x_v + offset, each robust; level: the median log of x_v."""
     cells = linked.groupBy("u", "v", F.round(F.col("r") * 500).cast("int").alias("b"), F.floor("m").cast("int").alias("d")).agg(F.count("*").alias("n"))
     scale = cells.groupBy("u", "v").agg(F.expr("percentile(b, 0.5, n)").alias("_b"), F.sum("n").alias("links"))
     mid = F.pow(F.lit(10.0), F.col("d") + 0.5)
     return (
         cells.join(scale, ["u", "v"])
         .withColumn("_res", (F.pow(F.lit(10.0), F.col("b") / 500) - F.pow(F.lit(10.0), F.col("_b") / 500)) * mid)
-        .groupBy("u", "v").agg((F.first("_b") / 500).alias("scale10"), F.first("links").alias("links"), F.expr("percentile(_res, 0.5, n)").alias("offset"))
+        .groupBy("u", "v").agg((F.first("_b") / 500).alias("scale10"), F.first("links").alias("links"), F.expr("percentile(_res, 0.5, n)").alias("offset"), (F.expr("percentile(d, 0.5, n)") + 0.5).alias("level"))
     )
 
 
@@ -260,19 +261,21 @@ def source_graph(stated: DataFrame, feeds: DataFrame, units: DataFrame) -> DataF
     number = {s: i for i, s in enumerate(order)}
     worth = [math.log10(usd[read[s][0]]) if read[s][0] in usd else None for s in order]
     pairs = cut(pair_estimates(links(stated)))
-    turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "links", "offset")
-    strongest = pairs.select("u", "v", "links", "offset").unionByName(turned).groupBy("v").agg(F.min_by("offset", F.struct(-F.col("links"), F.col("u"))).alias("offset"))
-    offsets = {r["v"]: r["offset"] for r in strongest.collect()}  # one row per source
-    # powers of ten by which v's number exceeds u's: whole, whatever u turns out to be, or the pair leads to no known conversion
+    # of each source, as a line over the source it has most links with: x_v = (x_u - offset) / 10 ** scale10 the other way
+    turned = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "links", (-F.col("offset") / F.pow(F.lit(10.0), F.col("scale10"))).alias("offset"))
+    strongest = pairs.select("u", "v", "links", "offset").unionByName(turned).groupBy("u").agg(F.min_by("offset", F.struct(-F.col("links"), F.col("v"))).alias("offset"))
+    offsets = {r["u"]: r["offset"] for r in strongest.collect()}  # one row per source
+    # powers of ten by which v's number exceeds u's: whole, whatever u turns out to be, or the pair leads to no known conversion;
+    # and no known conversion has an offset, so the pair's must be as good as none beside its numbers
     at = spark.createDataFrame([(s, number[s], x) for s, x in zip(order, worth) if x is not None], "source string, id int, worth double")
     ends = [F.broadcast(at.select(F.col("source").alias(c), F.col("id").alias(f"_{c}"), F.col("worth").alias(f"_{c}w"))) for c in ("u", "v")]
     step = F.col("_vw") - F.col("_uw") - F.col("scale10")
-    snapped = pairs.join(ends[0], "u").join(ends[1], "v").where(F.abs(step - F.round(step)) <= SNAP).select("_u", "_v", F.round(step).cast("int").alias("step"), "links")
+    snapped = pairs.join(ends[0], "u").join(ends[1], "v").where((F.abs(step - F.round(step)) <= SNAP) & (F.abs("offset") <= (10**SNAP - 1) * F.pow(F.lit(10.0), F.col("level") + F.col("scale10")))).select("_u", "_v", F.round(step).cast("int").alias("step"), "links")
     got = snapped.limit(MAX_PAIRS + 1).toArrow()
     if got.num_rows > MAX_PAIRS:
         raise ValueError(f"more than {MAX_PAIRS} linked pairs of sources: the currency texts or memos state no units")
     known = {order[i]: k for i, k in _propagate({number[s] for s in anchors}, len(order), *(c.to_numpy() for c in got.columns)).items()}
-    out, same_code, votes = [], {}, {}
+    out, same_code, votes, support = [], {}, {}, {}
     for r in rows:
         s, (code, said) = r["source"], read[r["source"]]
         power, n = known.get(s, (None, 0))
@@ -280,19 +283,20 @@ def source_graph(stated: DataFrame, feeds: DataFrame, units: DataFrame) -> DataF
         if power is not None and s.startswith("T|") and said == 0:
             if n >= MIN_LINKS:
                 same_code.setdefault((r["regime"], code), power)
+            support[r["regime"]] = support.get(r["regime"], 0) + n
             v = votes.setdefault(r["regime"], {})
-            n = min(n, 1000)  # else the fixed points outvote all
-            v[power] = v.get(power, 0) + n
-            if power == minor.get(code):
-                v["minor"] = v.get("minor", 0) + n
-    rule = {g: max(v, key=lambda k: (v[k], k != "minor")) for g, v in votes.items()}
+            if n >= MIN_LINKS:  # a source a vote
+                v[power] = v.get(power, 0) + 1
+                if power == minor.get(code):
+                    v["minor"] = v.get("minor", 0) + 1
+    rule = {g: max(v, key=lambda k: (v[k], k != "minor")) for g, v in votes.items() if v}
     final = []
     for s, regime, text, code, power, said, n in out:
         sure = power is not None and n >= MIN_LINKS
         if not sure:
             # too few links: what the text says, or else what its feed does with this currency, or with most currencies
             feed, part, side = regime.split("|")[1:4]
-            if sum(votes.get(regime, {}).values()) >= 4 * MIN_LINKS:
+            if regime in rule and support[regime] >= 4 * MIN_LINKS:
                 usual = minor.get(code, 0) if rule[regime] == "minor" else rule[regime]
             else:
                 usual = read_note(notes.get(feed), side, part, minor).get(code, 0)
@@ -419,11 +423,11 @@ def p1_source_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The rules as plain text matching, for the check on small data.
 P1_SQL = r"""
 WITH t AS (
-  SELECT trans_id, s.side, s.x, trim(s.c) AS c, h.feed_id, h.timestamp AS ts,
-         regexp_extract(coalesce(h.memo, ''), '(?i)(?:^|;)((?:[^;]*[^;\p{L}])?(?:' || s.words || ')(?:[^\p{L};][^;]*)?)(?:;|$)', 1) AS cl
-  FROM hi_small_trans h, LATERAL (SELECT unnest([
-    {'side': 'paid', 'x': amount_paid, 'c': currency_paid, 'words': 'paid|payer|payé|debit|debited|gezahlt|gezahlter'},
-    {'side': 'received', 'x': amount_received, 'c': currency_received, 'words': 'received|payee|reçu|credit|credited|erhalten|empfangener'}]) AS s)
+  SELECT trans_id, 'paid' AS side, amount_paid AS x, trim(currency_paid) AS c, feed_id, "timestamp" AS ts, CASE WHEN memo IS NULL THEN '' ELSE
+    regexp_extract(memo, '(?i)(?:^|;)((?:[^;]*[^;\p{L}])?(?:paid|payer|payé|debit|debited|gezahlt|gezahlter)(?:[^\p{L};][^;]*)?)(?:;|$)', 1) END AS cl FROM hi_small_trans
+  UNION ALL
+  SELECT trans_id, 'received', amount_received, trim(currency_received), feed_id, "timestamp", CASE WHEN memo IS NULL THEN '' ELSE
+    regexp_extract(memo, '(?i)(?:^|;)((?:[^;]*[^;\p{L}])?(?:received|payee|reçu|credit|credited|erhalten|empfangener)(?:[^\p{L};][^;]*)?)(?:;|$)', 1) END FROM hi_small_trans
 ), u AS (
   SELECT *, trim(regexp_extract(cl, '(?:\b(?:in|en|as)\b|=)\s+([^,;]{1,60}?)\s*(?:,|$)', 1)) AS unit,
     regexp_extract(cl, '(?:^|[ :])(\d(?:[\d., ]*\d)?)(?:[ ,;)]|$)', 1) AS num
