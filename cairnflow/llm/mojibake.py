@@ -93,7 +93,7 @@ class Reader:
         if encoding == "cp1252":
             parts.append("ã " if small else "Ã ")  # the second byte of à is a no-break space, often made a plain one
             self.byte[" "] = [0xA0]
-        self.leads = {c for c, bs in self.byte.items() if any(0xC2 <= b <= 0xF4 for b in bs)} | {"ã", "Ã"} & set(self.byte)
+        self.leads = {c for c, bs in self.byte.items() if any(0xC2 <= b <= 0xF4 for b in bs)}
         self.follows = {c for c, bs in self.byte.items() if any(0x80 <= b <= 0xBF for b in bs)}
         # where a character stands for several bytes, short forms must not hide the longer ones
         self.pattern = re.compile(f"(?:{'|'.join(parts[::-1] if small else parts)})+")
@@ -187,17 +187,33 @@ def _bits(sets: list[set[str]]) -> dict[str, int]:
 
 
 _LEADS, _FOLLOWS = _bits([r.leads for r in READERS]), _bits([r.follows for r in READERS])
-_SPACED = [r for r in READERS if " " in r.byte]
+_SPACED = sum(1 << i for i, r in enumerate(READERS) if " " in r.byte)
+#: Words with a character above ASCII. No-break spaces and soft hyphens may be damaged letters, so they end no word.
+_WORD = re.compile("(?<![^ \t\r\n])[^ \t\r\n\x80-\U0010ffff]*+[\x80-\U0010ffff][^ \t\r\n]*+")
+_bits_of: dict[str, int] = {}  # readers that find a place in a word, by spelling
 
 
-def possible_readers(text: str) -> list[Reader]:
-    """The readers that may find a place in a text, by the characters it holds."""
-    lead = follow = 0
-    for c in set(text):
-        if c > "\x7f":
-            lead |= _LEADS.get(c, 0)
-            follow |= _FOLLOWS.get(c, 0)
-    return [r for i, r in enumerate(READERS) if lead >> i & 1 and (follow >> i & 1 or r in _SPACED) and r.pattern.search(text)]
+def _reader_bits(word: str) -> int:
+    """The readers that find a place in a word, a bit each; those that read a blank only find it in a text."""
+    got = _bits_of.get(word)
+    if got is None:
+        maybe = 0
+        for a, b in zip(word, word[1:]):
+            if a > "\x7f" and b > "\x7f":
+                maybe |= _LEADS.get(a, 0) & _FOLLOWS.get(b, 0)
+        got = sum(1 << i for i, r in enumerate(READERS) if maybe >> i & 1 and r.pattern.search(word))
+        if len(_bits_of) > WORDS:
+            _bits_of.clear()
+        _bits_of[word] = got
+    return got
+
+
+def possible_readers(text: str, words: list[str] | None = None) -> list["Reader"]:
+    """The readers that find a place in a text, by the words with characters above ASCII that it holds."""
+    bits = 0
+    for w in _WORD.findall(text) if words is None else words:
+        bits |= _reader_bits(w)
+    return [r for i, r in enumerate(READERS) if bits >> i & 1 or _SPACED >> i & 1 and r.pattern.search(text)] if bits or "Ã " in text or "ã " in text else []
 
 
 def _swaps() -> list[tuple[str, dict[int, str]]]:
@@ -228,9 +244,15 @@ _MAPS = [m for _, m in SWAPS]
 _CHANGED = _bits([{chr(c) for c, d in m.items() if chr(c) != d} for m in _MAPS])
 _HIGH = re.compile("[^\x00-\x7f]")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
-#: What no clean record is trained on with: two or more characters that are valid UTF-8 in the commonest readings.
-_SUSPECT = re.compile("|".join(r.pattern.pattern for r in (READERS[0], READERS[1], READERS[3], READERS[4])) + "|[\x80-\x9f�]")
-_WORD = re.compile("[^ \t\r\n]+")  # no-break spaces and soft hyphens may be damaged letters
+_SIGNS = 1 << 0 | 1 << 1 | 1 << 3 | 1 << 4  # the commonest readings
+_LEFT = re.compile("[\x80-\x9f�]|Ã ")
+
+
+def shows_damage(text: str) -> bool:
+    """What no clean record is trained on with: two or more characters that are valid UTF-8 in the commonest readings, or what decoders leave."""
+    if text.isascii():
+        return False
+    return _LEFT.search(text) is not None or any(_reader_bits(w) & _SIGNS for w in _WORD.findall(text))
 
 
 _M32 = 0xFFFFFFFF
@@ -330,9 +352,12 @@ class Model:
 
     def learn(self, words: Iterable[Word]) -> None:
         """Scores each word under every single-byte chain that makes another of it; keeps (chains as bits, gain, word) of the gains that count."""
+        words = list(words)
         if len(self.words) > WORDS:
             self.words.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if not new:
+            return
         texts: list[str] = []
         closed: list[bool] = []
         tried: list[dict[str, int]] = []
@@ -376,7 +401,7 @@ class Model:
 
 def odd_words(text: str) -> list[tuple[int, int, Word]]:
     """Words with characters above ASCII and where they stand."""
-    return [(*m.span(), (m.group(), m.end() < len(text))) for m in _WORD.finditer(text) if not m.group().isascii()]
+    return [(*m.span(), (m.group(), m.end() < len(text))) for m in _WORD.finditer(text)]
 
 
 def slices(texts: list[str | None]) -> Iterator[list[int]]:
@@ -418,20 +443,20 @@ def train(clean: DataFrame, suspect: DataFrame | None = None) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FOLDS, SIZE), dtype=np.int64)
+        part: list[list[str]] = [[] for _ in range(FOLDS)]
+        held = [0] * FOLDS
         for b in batches:
-            part: list[list[str]] = [[] for _ in range(FOLDS)]
-            held = [0] * FOLDS
             for t, ok, k in zip(*(c.to_pylist() for c in b.columns)):
-                if not t or not ok and _SUSPECT.search(t):
+                if not t or not ok and shows_damage(t):
                     continue
                 part[k].append(t)
                 held[k] += len(t)
-                if held[k] > 1_000_000:
+                if held[k] > SLICE:
                     total[k] += counts_of(part[k])
                     part[k], held[k] = [], 0
-            for k in range(FOLDS):
-                if part[k]:
-                    total[k] += counts_of(part[k])
+        for k in range(FOLDS):
+            if part[k]:
+                total[k] += counts_of(part[k])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["bucket", "n"])
 
@@ -487,19 +512,19 @@ def _apply(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def restore(model: Model, text: str, margins: tuple[float, float]) -> tuple[str, list[str], float]:
-    """(restored text, chains undone, gain); no chains where nothing was found."""
+def restore(model: Model, text: str, margins: tuple[float, float], words: list[tuple[int, int, Word]] | None = None) -> tuple[str, list[str], float]:
+    """(restored text, chains undone, gain); no chains where nothing was found. words: those of odd_words(text), where at hand."""
     chains: list[str] = []
     gained = 0.0
     while _HIGH.search(text):  # every round gains more than a margin, and likelihoods end at 0
+        words = odd_words(text) if words is None else words
         best = (0.0, [], "")
-        for r in possible_readers(text):
+        for r in possible_readers(text, [w for _, _, (w, _) in words]):
             g, e = _utf8_gain(model, text, r)
             if g > best[0]:
                 best = (g, e, f"utf_8 read as {r.name}")
         margin = margins[0]
-        words = odd_words(text)
-        model.learn(w for _, _, w in words)
+        model.learn([w for _, _, w in words])
         total = _swap_gains(model, words)
         if total:
             chain = max(total, key=lambda k: (total[k], -k))
@@ -508,7 +533,7 @@ def restore(model: Model, text: str, margins: tuple[float, float]) -> tuple[str,
                 best, margin = (total[chain], edits, SWAPS[chain.bit_length() - 1][0]), margins[1]
         if best[0] <= margin:
             break
-        text, gained = _apply(text, best[1]), gained + best[0]
+        text, gained, words = _apply(text, best[1]), gained + best[0], None
         chains.append(best[2])
     return text, chains, gained
 
@@ -521,7 +546,8 @@ def most_gains(model: Model, texts: list[str]) -> list[tuple[float, float]]:
         words = {i: odd_words(texts[i]) for i in part}
         model.learn(w for ws in words.values() for _, _, w in ws)
         for i in part:
-            out[i] = (max((_utf8_gain(model, texts[i], r)[0] for r in possible_readers(texts[i])), default=0.0), max(_swap_gains(model, words[i]).values(), default=0.0))
+            readers = possible_readers(texts[i], [w for _, _, (w, _) in words[i]])
+            out[i] = (max((_utf8_gain(model, texts[i], r)[0] for r in readers), default=0.0), max(_swap_gains(model, words[i]).values(), default=0.0))
     return out
 
 
@@ -535,24 +561,36 @@ def validated_margins(model: Model, clean: list[str]) -> tuple[float, float]:
     return _margins(max((m[0] for m in most), default=0.0), max((m[1] for m in most), default=0.0))
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.int32 if counts.max(initial=0) < 2**31 else np.int64)
+def _packed(parts: np.ndarray) -> list[tuple]:
+    """Each row of counts for the way to the workers: the buckets in use, or all where that is shorter."""
+    out: list[tuple] = []
+    for row in parts:
+        kind = np.int32 if row.max(initial=0) < 2**31 else np.int64
+        at = np.flatnonzero(row).astype(np.int32)
+        out.append((at, row[at].astype(kind)) if 2 * len(at) < len(row) else (None, row.astype(kind)))
+    return out
 
 
-_held: dict[str, list[Model]] = {}  # models of this worker, the latest two
+_held: dict[str, list["Model"]] = {}  # models of this worker, the latest two
 
 
 def _models(name: str, shared) -> list[Model]:
     if name not in _held:
         while len(_held) >= 2:
             del _held[next(iter(_held))]
-        _held[name] = [Model(c) for c in shared.value]
+        out = []
+        for at, counts in shared.value:
+            if at is not None:
+                row = np.zeros(SIZE, dtype=counts.dtype)
+                row[at] = counts
+            out.append(Model(counts if at is None else row))
+        _held[name] = out
     return _held[name]
 
 
 def clean_gains(clean: DataFrame, parts: np.ndarray) -> DataFrame:
     """(t, utf8, single): the greatest gains of every clean record above ASCII, under the counts of the parts it is not in."""
-    shared = clean.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0) - parts))  # FOLDS * SIZE numbers
+    shared = clean.sparkSession.sparkContext.broadcast(_packed(parts.sum(axis=0) - parts))  # FOLDS * SIZE numbers
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -574,7 +612,7 @@ def find_garbled(docs: DataFrame, key: str, text: str, clean: DataFrame) -> Data
     parts = train(clean, docs.select(text))
     most = clean_gains(clean, parts).agg(F.max("utf8"), F.max("single")).first()
     margins = _margins(most[0] or 0.0, most[1] or 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(_small(parts.sum(axis=0))[None])  # SIZE numbers
+    shared = docs.sparkSession.sparkContext.broadcast(_packed(parts.sum(axis=0)[None]))  # SIZE numbers
     kind = dict(docs.dtypes)[key]
     name = uuid.uuid4().hex
 
@@ -584,10 +622,11 @@ def find_garbled(docs: DataFrame, key: str, text: str, clean: DataFrame) -> Data
             rows, chains, gains, texts = [], [], [], []
             every = b.column(1).to_pylist()
             for part in slices(every):
-                m.learn(w for i in part for _, _, w in odd_words(every[i]))
+                words = {i: odd_words(every[i]) for i in part}
+                m.learn(w for ws in words.values() for _, _, w in ws)
                 for i in part:
                     t = every[i]
-                    new, undone, gain = (t, [], 0.0) if m.empty else restore(m, t, margins)
+                    new, undone, gain = (t, [], 0.0) if m.empty else restore(m, t, margins, words[i])
                     if undone or _CONTROL.search(t):
                         rows.append(i), chains.append(undone), gains.append(gain), texts.append(new if undone else None)
             yield pa.RecordBatch.from_arrays(

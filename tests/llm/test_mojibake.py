@@ -155,6 +155,7 @@ def test_a_reader_is_never_passed_over():
     for _ in range(3000):
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 6)))
         assert M.possible_readers(text) == [r for r in M.READERS if r.pattern.search(text)], text
+        assert M.shows_damage(text) == any(M.READERS[i].pattern.search(text) for i in (0, 1, 3, 4)) or any("\x80" <= c <= "\x9f" or c == "�" for c in text)
 
 
 def test_a_long_text_without_blanks(model, margins):
