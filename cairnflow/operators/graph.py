@@ -146,16 +146,17 @@ def cycle_lengths(edges: DataFrame, w: int, longest: int = 4) -> DataFrame:
     return found.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("edge_time")).agg(*(F.count_if(F.col("n") == k).alias(f"closes_{k}") for k in range(2, longest + 1)))
 
 
-def node_fold(nodes: DataFrame, per_edge: DataFrame, maxed: dict[str, list[str]], summed: list[str]) -> DataFrame:
+def node_fold(nodes: DataFrame, per_edge: DataFrame, maxed: dict[str, dict[str, str] | list[str]], summed: list[str]) -> DataFrame:
     """nodes(node, node_time) with columns folded from per_edge(src, dst, edge_time, ...).
 
-    maxed: for "src" and "dst" the columns taken by maximum onto that end; summed: columns summed onto both ends (a
-    self-edge adds twice). Only edges at or before an end's own time count. Nodes without evidence keep 0.
+    maxed: for "src" and "dst" the columns taken by maximum onto that end, by the name they get; both ends may give to one
+    name. summed: columns summed onto both ends (a self-edge adds twice). Only edges at or before an end's own time count. Nodes without evidence keep 0.
     """
     parts = []
-    every = [*maxed.get("src", []), *maxed.get("dst", []), *summed]
+    onto = {end: cols if isinstance(cols := maxed.get(end, {}), dict) else {c: c for c in cols} for end in ("src", "dst")}
+    every = list(dict.fromkeys([*onto["src"], *onto["dst"], *summed]))
     for end in ("src", "dst"):
-        cols = [F.col(c) if c in maxed.get(end, []) or c in summed else F.lit(0).alias(c) for c in every]
+        cols = [F.col(onto[end][c]) if c in onto[end] else F.col(c) if c in summed else F.lit(0) for c in every]
         parts.append(per_edge.select(F.col(end).alias("node"), "edge_time", *[c.alias(n) for c, n in zip(cols, every)]))
     both = parts[0].unionByName(parts[1]).join(nodes.select("node", "node_time"), "node").where("node_time >= edge_time")
     got = both.groupBy("node").agg(*((F.sum(c) if c in summed else F.max(c)).alias(c) for c in every))

@@ -30,9 +30,25 @@ def results_wide(results: DataFrame, keys: list[str], metrics: list[str]) -> Dat
     return results.withColumn("_cell", cell).groupBy(*keys).pivot("metric", metrics).agg(F.first("_cell"))
 
 
-def metric_order(metric: Column) -> Column:
-    at = F.array_position(F.array(*(F.lit(m) for m in FIRST_METRICS)), metric)
-    return F.struct(F.when(at == 0, len(FIRST_METRICS) + 1).otherwise(at), metric)
+def metric_order(metric: Column, first: list[str] | tuple[str, ...] = FIRST_METRICS) -> Column:
+    """Orders metrics: the named ones as they are named, then the others by name."""
+    at = F.array_position(F.array(*(F.lit(m) for m in first)), metric)
+    return F.struct(F.when(at == 0, len(first) + 1).otherwise(at), metric)
+
+
+def curve_bands(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, time, f1_mean, low, high): the mean over seeds and its t-interval at every batch; no interval for one seed."""
+    return seed_interval(curves, [*keys, "time"], "f1").select(*keys, "time", F.col("seed_mean").alias("f1_mean"), F.col("ci_low").alias("low"), F.col("ci_high").alias("high"))
+
+
+def recovery(curves: DataFrame, regimes: list[str]) -> DataFrame:
+    """(time, a column per regime): the mean F1 over seeds, beside each other."""
+    return curves.groupBy("time").pivot("regime", regimes).agg(F.avg("f1"))
+
+
+def lead_summary(leads: DataFrame) -> DataFrame:
+    """(detector, first_flag, drop_level): over runs, the median first flag and the mean level of the drop. A row a run and detector."""
+    return leads.groupBy("detector").agg(F.median("first_flag").alias("first_flag"), F.avg("drop_level").alias("drop_level"))
 
 
 def alert_queue(scored: DataFrame, threshold: Column, key: list[str], top: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
+
 PARTS = ("train", "val", "test")
 
 
@@ -50,37 +52,60 @@ def split_rolling(units: DataFrame, steps: list[tuple[int, tuple[int, int], tupl
     return units.where("y >= 0").withColumn("_s", F.explode(F.array(*one))).select("*", "_s.step", "_s.part").drop("_s").where("part is not null")
 
 
-def leakage_report(split: DataFrame, key: list[str], edges: DataFrame | None = None) -> DataFrame:
-    """One row: units in two parts, parts that are empty or without positives, chronology, edges joining train and test.
+def leakage_report(split: DataFrame, key: list[str], edges: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row for the split, or for each of `by`: units in two parts, parts that are empty or without positives, chronology,
+    edges joining train and test.
 
     edges(src, dst) join units by key, which is then one column.
     """
-    twice = split.groupBy(*key).agg(F.count_distinct("part").alias("k")).agg(F.count_if(F.col("k") > 1).alias("overlapping"))
-    stats = split.agg(
+    by = by or []
+    grouped = lambda df: df.groupBy(*by) if by else df.groupBy()
+    beside = lambda out, more: out.join(more, by, "left") if by else out.crossJoin(F.broadcast(more))  # noqa: E731  one row each, or one a step
+    twice = grouped(split.groupBy(*by, *key).agg(F.count_distinct("part").alias("k"))).agg(F.count_if(F.col("k") > 1).alias("overlapping"))
+    stats = grouped(split).agg(
         *(F.count_if(F.col("part") == p).alias(f"n_{p}") for p in PARTS), *(F.count_if((F.col("part") == p) & (F.col("y") == 1)).alias(f"pos_{p}") for p in PARTS),
         F.count_if(F.col("y") < 0).alias("unlabelled"),
         (F.max(F.when(F.col("part") == "train", F.col("batch_id"))) < F.min(F.when(F.col("part") == "val", F.col("batch_id")))).alias("train_before_val"),
         (F.max(F.when(F.col("part") == "val", F.col("batch_id"))) < F.min(F.when(F.col("part") == "test", F.col("batch_id")))).alias("val_before_test"),
     )
-    out = stats.crossJoin(F.broadcast(twice))  # one row each
+    out = beside(stats, twice)
     if edges is not None:
-        a = split.select(F.col(key[0]).alias("src"), F.col("part").alias("_a"))
-        b = split.select(F.col(key[0]).alias("dst"), F.col("part").alias("_b"))
-        bad = edges.join(a, "src").join(b, "dst").agg(F.count_if(F.concat_ws("-", "_a", "_b").isin("train-test", "test-train")).alias("joining_edges"))
-        out = out.crossJoin(F.broadcast(bad))
+        a = split.select(*by, F.col(key[0]).alias("src"), F.col("part").alias("_a"))
+        b = split.select(*by, F.col(key[0]).alias("dst"), F.col("part").alias("_b"))
+        bad = grouped(edges.join(a, "src").join(b, ["dst", *by])).agg(F.count_if(F.concat_ws("-", "_a", "_b").isin("train-test", "test-train")).alias("joining_edges"))
+        out = beside(out, bad)
     return out
 
 
-def check_leakage(split: DataFrame, key: list[str], temporal: bool) -> None:
-    """Raises where the report shows a leak."""
-    r = leakage_report(split, key).first()
-    wrong = [k for k in ("overlapping", "unlabelled") if r[k]] + [p for p in PARTS if not r[f"n_{p}"] or not r[f"pos_{p}"]]
-    if temporal and not (r["train_before_val"] and r["val_before_test"]):
-        wrong.append("chronology")
+def check_leakage(split: DataFrame, key: list[str], temporal: bool, edges: DataFrame | None = None, by: list[str] | None = None) -> None:
+    """Raises where the report shows a leak in the split, or in any of those it holds (`by`); edges: none may join train and test."""
+    wrong = []
+    for r in leakage_report(split, key, edges, by).collect():  # one row a split
+        r = r.asDict()
+        bad = [k for k in ("overlapping", "unlabelled", "joining_edges") if r.get(k)] + [p for p in PARTS if not r[f"n_{p}"] or not r[f"pos_{p}"]]
+        if temporal and not (r["train_before_val"] and r["val_before_test"]):
+            bad.append("chronology")
+        if bad:
+            wrong.append(({k: r[k] for k in by or []}, bad))
     if wrong:
         raise ValueError(f"the split leaks or lacks: {wrong}")
 
 
+def kept_split(split: DataFrame, params: dict, folder: str) -> dict:
+    """Keeps split(step, unit, part) under its definition; where one is kept already, this one must be the same. Returns the note."""
+    spark, path = split.sparkSession, f"{folder}/{definition_hash(params)}"
+    hashed = split_hash(split, ["step", "unit"], params)
+    note = store.get(spark, f"{path}/note")
+    if note is None:
+        split.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+        sizes = {r["part"]: r["n"] for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()}  # three rows
+        store.put(spark, f"{path}/note", note := {"sizes": sizes, "split_hash": hashed, "definition_hash": definition_hash(params), "params": params})
+    for what, h in (("made now", hashed), ("kept", split_hash(spark.read.parquet(f"{path}/rows"), ["step", "unit"], params))):
+        if h != note["split_hash"]:
+            raise store.StaleCache(f"the split {what} is not the one kept under its definition: {h}, not {note['split_hash']}")
+    return note
+
+
 def definition_hash(params: dict) -> str:
     return hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as X
-from . import report
-from .config import Config, Dataset, Model, Regime, Score, Synthetic, root
+from . import report, store
+from .config import METRICS, Config, Dataset, Model, Regime, Score, Synthetic, root
 from .models import sage, trees
 from .operators import drift as D
 from .operators import evaluation as E
@@ -52,22 +52,26 @@ def units_of(g: GraphTables, cfg: Config) -> DataFrame:
     """Units with every feature a model of the configuration asks for; graph features are built once."""
     u = g.units
     if cfg.needs_graph_features:
-        u = u.join(X.unit_features(g, cfg.features), "unit")
+        u = u.join(X.kept_features(g, cfg.features, root("data")), "unit")
     return cut(u)
 
 
-def split_of(units: DataFrame, r: Regime) -> list[DataFrame]:
-    """One split, or one per step for rolling; every one is checked for leaks."""
+def split_of(units: DataFrame, r: Regime, g: GraphTables) -> list[DataFrame]:
+    """One split, or one per step for rolling; every one is checked for leaks, and against how it was split before.
+
+    Nodes are split in time only if no edge joins train and test; edges are units themselves where the task is theirs.
+    """
     if r.regime == "random":
-        out = [S.split_random(units, ["unit"], r.seed, r.fractions[0], r.fractions[1])]
-    elif r.regime == "temporal":
-        out = [S.split_temporal(units, r.train_end, r.val, r.test)]
+        whole = S.split_random(units, ["unit"], r.seed, r.fractions[0], r.fractions[1]).withColumn("step", F.lit(0).cast("long"))
+        steps = [0]
     else:
-        steps = S.rolling_steps(r.train_end, r.val[1] - r.val[0] + 1, r.test)
-        out = [S.split_temporal(units, *s) for s in steps]
-    for s in out if len(out) == 1 else []:
-        S.check_leakage(s.select("unit", "batch_id", "y", "part"), ["unit"], r.regime == "temporal")
-    return out
+        spans = [(r.train_end, r.val, r.test)] if r.regime == "temporal" else S.rolling_steps(r.train_end, r.val[1] - r.val[0] + 1, r.test)
+        steps = [s[2][0] for s in spans]
+        whole = S.split_rolling(units, spans).withColumn("step", F.col("step").cast("long"))
+    edges = g.edges.select("src", "dst") if r.timed and g.meta.task == "node" and g.meta.cross_time_edges else None
+    S.check_leakage(whole.select("unit", "step", "batch_id", "y", "part"), ["unit"], r.timed, edges, ["step"])
+    S.kept_split(whole.select("step", "unit", "part"), {"dataset": g.meta.dataset, "version": g.meta.version, "source": g.meta.source, **r.model_dump(mode="json")}, f"{root('data')}/splits")
+    return [whole.where(F.col("step") == s).drop("step") for s in steps]
 
 
 def fit(split: DataFrame, g: GraphTables, cfg: Config, m: Model, seed: int) -> Fitted:
@@ -94,8 +98,8 @@ def fit(split: DataFrame, g: GraphTables, cfg: Config, m: Model, seed: int) -> F
     return Fitted(pred.withColumn("threshold", F.lit(thr)), thr, time.time() - began, info, model, cols)
 
 
-def metrics_of(pred: DataFrame, names: tuple[str, ...]) -> dict[str, float]:
-    """Metrics over test predictions with their own thresholds."""
+def metrics_of(pred: DataFrame, names: tuple[str, ...], prefix: str = "") -> dict[str, float]:
+    """Metrics over test predictions with their own thresholds, under names that begin with the prefix."""
     c = E.confusion(pred, F.col("threshold")).first().asDict()
     c |= {k: v for k, v in E.rank_metrics(pred).first().asDict().items() if k in names}
     at = {"p_at_r50": 0.5, "p_at_r80": 0.8}
@@ -103,7 +107,7 @@ def metrics_of(pred: DataFrame, names: tuple[str, ...]) -> dict[str, float]:
     if wanted and c["n_pos"]:
         got = {r["recall"]: r["precision"] for r in E.precision_at_recall(pred, [at[n] for n in wanted]).collect()}
         c |= {n: got[at[n]] for n in wanted}
-    return {k: float(v) for k, v in c.items() if v is not None and (k in names or k in ("precision", "recall", "n", "n_pos"))}
+    return {prefix + k: float(v) for k, v in c.items() if v is not None and (k in names or k in ("precision", "recall", "n", "n_pos"))}
 
 
 def write_csv(path: Path, rows: list[dict], columns: list[str]) -> Path:
@@ -117,17 +121,19 @@ def write_csv(path: Path, rows: list[dict], columns: list[str]) -> Path:
 
 def run_benchmark(spark: SparkSession, cfg: Config, out: Path | None = None) -> dict[str, Path]:
     """Every regime, model and seed; tracked runs, curves, results over seeds."""
-    out = out or root("report")
-    g = load_graph(spark, cfg.dataset)
+    out = out or Path(root("report"))
+    g = load_graph(spark, cfg.dataset, f"{root('data')}/graphs")
     units = units_of(g, cfg)
     version = X.feature_version(g, cfg.features)
-    splits = {r.regime: split_of(units, r) for r in cfg.regimes}  # all before the first fit
+    splits = {r.regime: split_of(units, r, g) for r in cfg.regimes}  # all before the first fit
     parent, commit = uuid.uuid4().hex, stamp()
-    runs, curves = [], []
+    runs = [{"run_id": parent, "experiment": cfg.experiment, "kind": "parent", "started": time.time(), "tags": {"commit": commit}, "params": {"config": cfg.model_dump_json()}, "metrics": {}}]
+    curves, history = [], []
     for r in cfg.regimes:
         hashed = S.definition_hash(r.model_dump())
         for m in cfg.models:
             for seed in cfg.seeds:
+                began = time.time()
                 steps = [fit(s, g, cfg, m, seed) for s in splits[r.regime]]
                 test = steps[0].pred.where("part = 'test'")
                 for s in steps[1:]:
@@ -136,24 +142,38 @@ def run_benchmark(spark: SparkSession, cfg: Config, out: Path | None = None) ->
                 got = metrics_of(test, ("f1",) if r.regime == "temporal_rolling" else cfg.metrics)
                 tags = {"dataset": cfg.dataset.name, "regime": r.regime, "model": m.name, "features": m.features, "feature_version": version, "split_hash": hashed, "commit": commit}
                 run = uuid.uuid4().hex
-                runs += [{"run_id": run, "parent_run_id": parent, "seed": seed, "metric": k, "value": v, **tags} for k, v in got.items()]
-                curves += [{**row.asDict(), **tags, "seed": seed} for row in E.per_timestep(test, F.col("threshold")).orderBy("time").collect()]
-                test.write.mode("overwrite").parquet(str(out / "predictions" / run))
-    schema = "run_id string, parent_run_id string, seed int, metric string, value double, dataset string, regime string, model string, features string, feature_version string, split_hash string, commit string"
-    tracked = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in runs], schema)
-    tracked.write.mode("append").parquet(str(out / "runs"))
-    table = cut(R.results_table(tracked.where(F.col("metric").isin(*cfg.metrics))))
-    rows = [r.asDict() for r in table.orderBy("regime", "model", "features", R.metric_order(F.col("metric"))).collect()]
+                params = {**m.params, **steps[-1].info, "threshold": steps[-1].threshold, "fits": len(steps), "columns": len(steps[-1].columns)}
+                runs.append({
+                    "run_id": run, "parent_run_id": parent, "experiment": cfg.experiment, "kind": "child", "started": began, "seed": seed, "tags": tags, "params": {k: str(v) for k, v in params.items()},
+                    "metrics": got | {"fit_seconds": sum(s.seconds for s in steps)}})
+                per = [row.asDict() for row in E.per_timestep(test, F.col("threshold")).orderBy("time").collect()]  # a row a batch
+                history += [(run, f"ts_{k}", int(row["time"]), float(row[k])) for row in per for k in ("f1", "pr_auc") if row[k] is not None]
+                curves += [{**row, **tags, "seed": seed} for row in per]
+                predicted = test if len(steps) > 1 else steps[0].pred  # rolling steps validate on batches that are tested by others
+                predicted.write.mode("overwrite").parquet(f"{out}/predictions/{run}")
+    store.log(spark, str(out), runs, history)
+    return reports(spark, cfg, out, parent, curves)
+
+
+def reports(spark: SparkSession, cfg: Config, out: Path, parent: str, curves: list[dict]) -> dict[str, Path]:
+    """The files of a benchmark: results over seeds, from the runs as they are kept, and curves."""
+    tracked = store.measured(store.child_runs(spark, str(out), cfg.experiment, parent), list(cfg.metrics))
+    table = cut(R.results_table(tracked))
+    rows = [r.asDict() for r in table.orderBy("regime", "model", "features", R.metric_order(F.col("metric"), METRICS)).collect()]
     files = {
         "results": write_csv(out / "results.csv", rows, ["dataset", "regime", "model", "features", "metric", "seed_mean", "ci_low", "ci_high", "ci_kind", "n_seeds", "feature_version", "split_hash", "commit"]),
         "curves": write_csv(out / "curves.csv", curves, ["time", "f1", "pr_auc", "n", "n_pos", "regime", "model", "features", "seed"]),
     }
     wide = R.results_wide(table, ["regime", "model", "features"], list(cfg.metrics)).orderBy("regime", "model", "features").collect()
     (out / "results_wide.md").write_text(report.markdown([r.asDict() for r in wide], ["regime", "model", "features", *cfg.metrics]))
-    lines: dict[str, list] = {}
-    for c in curves:
-        lines.setdefault(f"{c['regime']} {c['model']}.{c['features']} #{c['seed']}", []).append((c["time"], c["f1"]))
-    (out / "curves.svg").write_text(report.line_chart(lines, "F1 per batch"))
+    lines, bands = {}, {}
+    seen = spark.createDataFrame([(c["regime"], c["model"], c["features"], int(c["time"]), c["f1"]) for c in curves], "regime string, model string, features string, time long, f1 double")
+    for c in R.curve_bands(seen, ["regime", "model", "features"]).orderBy("time").collect():  # a row a batch and configuration
+        name = f"{c['regime']} {c['model']}.{c['features']}"
+        lines.setdefault(name, []).append((c["time"], c["f1_mean"]))
+        if c["low"] is not None:
+            bands.setdefault(name, []).append((c["time"], c["low"], c["high"]))
+    (out / "curves.svg").write_text(report.line_chart(lines, "F1 per batch, mean over seeds", bands=bands))
     return files | {"wide": out / "results_wide.md", "figure": out / "curves.svg"}
 
 
@@ -179,11 +199,12 @@ def flags(units: DataFrame, cols: list[str], ref: list[int], threshold: float, c
 
 def run_drift(spark: SparkSession, cfg: Config, out: Path | None = None) -> dict[str, Path]:
     """Detectors over every batch after validation, and how early they warn of a falling F1."""
-    out = out or root("report")
-    g = load_graph(spark, cfg.dataset)
+    out = out or Path(root("report"))
+    g = load_graph(spark, cfg.dataset, f"{root('data')}/graphs")
     units, r = units_of(g, cfg), cfg.regimes[0]
-    split = split_of(units, r)[0]
+    split = split_of(units, r, g)[0]
     scores, leads, events = [], [], []
+    probes: dict[str, dict[str, float | None]] = {}  # by features: the models of one selection see the same windows
     for m in cfg.models:
         for seed in cfg.seeds:
             f = fit(split, g, cfg, m, seed)
@@ -196,7 +217,9 @@ def run_drift(spark: SparkSession, cfg: Config, out: Path | None = None) -> dict
             scores += [x.asDict() | tag for x in s.orderBy("batch_id", "detector").collect()]
             leads += [x.asDict() | tag for x in lead.orderBy("detector").collect()]
             if cfg.drift.event is not None:
-                events += [x.asDict() | tag for x in E.event_windows(f.pred.where("part = 'test'"), cfg.drift.event, F.col("threshold")).collect()]
+                if cfg.drift.probe and m.features not in probes:
+                    probes[m.features] = probe_windows(split.where("part = 'test'"), f.columns, cfg.drift.event)
+                events += [x.asDict() | tag | {"probe_roc_auc": probes.get(m.features, {}).get(x["window"])} for x in E.event_windows(f.pred.where("part = 'test'"), cfg.drift.event, F.col("threshold")).collect()]
     lines: dict[str, list] = {}
     for x in scores:
         lines.setdefault(f"{x['detector']} {x['model']} #{x['seed']}", []).append((x["batch_id"], x["score"]))
@@ -207,26 +230,35 @@ def run_drift(spark: SparkSession, cfg: Config, out: Path | None = None) -> dict
         "lead_time": write_csv(out / "drift_lead_time.csv", leads, ["detector", "first_flag", "first_drop", "lead", "drop_level", "ref_f1", "model", "features", "seed"]),
     }
     if events:
-        files["event"] = write_csv(out / "drift_event.csv", events, ["window", "n", "n_pos", "roc_auc", "recall", "pos_median", "model", "features", "seed"])
+        files["event"] = write_csv(out / "drift_event.csv", events, ["window", "n", "n_pos", "roc_auc", "recall", "pos_median", "probe_roc_auc", "model", "features", "seed"])
     return files
 
 
+def probe_windows(rows: DataFrame, cols: list[str], event: int) -> dict[str, float | None]:
+    """How well a model fitted inside each window tells the classes there; none where a class has too few."""
+    out: dict[str, float | None] = {}
+    for window, where in (("before", F.col("batch_id") < event), ("after", F.col("batch_id") >= event)):
+        part = cut(rows.where(where).select("unit", "y", *cols))
+        try:
+            out[window] = trees.probe_auc(part, ["unit"], cols)
+        except ValueError:
+            out[window] = None
+    return out
+
+
 def run_score(spark: SparkSession, cfg: Config, out: Path | None = None) -> tuple[dict[str, Path], list[str]]:
     """One batch scored with the deployed model: alerts, their reasons, and a health check. Returns files and flags."""
-    out = out or root("report")
-    g = load_graph(spark, cfg.dataset)
+    out = out or Path(root("report"))
+    g = load_graph(spark, cfg.dataset, f"{root('data')}/graphs")
     units, r, m = units_of(g, cfg), cfg.regimes[0], cfg.models[0]
     define = hashlib.sha256(json.dumps([cfg.dataset.model_dump(), X.feature_version(g, cfg.features), r.model_dump(), m.model_dump()], sort_keys=True, default=str).encode()).hexdigest()[:16]
-    folder = root("data") / "deployed"
-    weights, meta = folder / f"{define}.trees.json", folder / f"{define}.json"
-    if meta.is_file():
-        model, threshold = trees.BoostedTrees.from_json(weights.read_text()), json.loads(meta.read_text())["threshold"]
-    else:
-        f = fit(split_of(units, r)[0], g, cfg, m, cfg.seeds[0])
-        model, threshold = f.model, f.threshold
-        folder.mkdir(parents=True, exist_ok=True)
-        weights.write_text(model.to_json())
-        meta.write_text(json.dumps({"threshold": threshold, "definition": define}))  # last, so a broken write is no model
+    where = f"{root('data')}/deployed/{define}"
+    known = store.get(spark, where)
+    if known is None:
+        f = fit(split_of(units, r, g)[0], g, cfg, m, cfg.seeds[0])
+        known = {"threshold": f.threshold, "definition": define, "trees": f.model.to_json()}
+        store.put(spark, where, known)
+    model, threshold = trees.BoostedTrees.from_json(known["trees"]), known["threshold"]
     batch = cfg.score.batch
     ref = cfg.score.reference or r.val
     cols = X.columns(g, m.features, cfg.features)
@@ -246,7 +278,11 @@ def run_score(spark: SparkSession, cfg: Config, out: Path | None = None) -> tupl
     files["health"] = out / f"health_batch{batch}.json"
     files["health"].write_text(json.dumps(body, indent=2, sort_keys=True))
     files["page"] = out / f"report_batch{batch}.html"
-    files["page"].write_text(report.page(f"Batch {batch}", NOTE, ["<h2>Detectors</h2>", report.table(health, ["detector", "score", "threshold", "flagged"]), f"<h2>First {cfg.score.top} of {len(rows)} alerts</h2>", report.table(rows[: cfg.score.top], [c for c in alerts.columns if c != "unit"] or ["rank"]), f"<p>{body['commit']}</p>"]))
+    came_from = [{"what": k, "value": v} for k, v in {"dataset": f"{cfg.dataset.name} {cfg.dataset.version}", "features": X.feature_version(g, cfg.features), "model": m.key, "definition": define, "threshold": threshold, "reference": f"{ref[0]} to {ref[1]}", "commit": body["commit"]}.items()]
+    files["page"].write_text(report.page(f"Batch {batch}", NOTE, [
+        "<h2>Detectors</h2>", report.table(health, ["detector", "score", "threshold", "flagged"]), report.bar_chart([(h["detector"], h["score"], h["threshold"]) for h in health], "Scores and the levels that flag"),
+        f"<h2>First {cfg.score.top} of {len(rows)} alerts</h2>", report.table(rows[: cfg.score.top], [c for c in alerts.columns if c != "unit"]),
+        "<h2>Where this comes from</h2>", report.table(came_from, ["what", "value"])]))
     return files, flagged
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -22,6 +23,7 @@ class Meta:
     blocks: dict[str, list[str]] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     cross_time_edges: bool = False
+    source: str = ""  # a hash of what the graph is made from
 
 
 @dataclass
@@ -68,16 +70,37 @@ def read_elliptic(spark: SparkSession, d: Dataset) -> GraphTables:
     require(classes.where("class not in (1, 2, 3)"), "classes other than 1, 2 and 3")
     y = F.when(F.col("class") == 1, 1).when(F.col("class") == 2, 0).otherwise(-1)
     nodes = x.join(classes, "node", "left").withColumn("y", y).withColumn("batch_id", F.col("node_time")).drop("class")
-    e = spark.read.option("header", True).schema("txId1 long, txId2 long").csv(f"{path}/txs_edgelist.csv").toDF("src", "dst")
+    # numbered as they stand in the file: unique for repeated edges too, and the order of edges of one time
+    e = spark.read.option("header", True).schema("txId1 long, txId2 long").csv(f"{path}/txs_edgelist.csv").toDF("src", "dst").withColumn("edge", F.monotonically_increasing_id())
     for end in ("src", "dst"):
         require(e.select(F.col(end).alias("node")).join(nodes.select("node"), "node", "left_anti"), f"edges whose {end} is no transaction")
     t = nodes.select("node", "node_time")
     edges = e.join(t.toDF("src", "edge_time"), "src").join(t.toDF("dst", "_t"), "dst")
     require(edges.where("edge_time <> _t").select("src", "dst"), "edges across time steps")
-    edges = edges.drop("_t").withColumn("edge", F.xxhash64("src", "dst"))
+    edges = edges.drop("_t")
+    if d.version in PUBLISHED["elliptic"]:
+        r = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("node_time").alias("steps"), *(F.count_if(F.col("y") == k).alias(n) for k, n in ((1, "illicit"), (0, "licit"), (-1, "unknown")))).first().asDict()
+        check_published("elliptic", d.version, r | {"edges": edges.count()})
+    else:
+        logging.getLogger(__name__).warning("no counts are published for elliptic %s, so none are checked", d.version)
     return GraphTables(nodes, edges, Meta("elliptic", d.version, "node", {"local": local, "agg1hop": agg}, [low[c] for c in low if c not in ("txid", "time_step", *local, *agg)]))
 
 
+# Counts of the published releases.
+PUBLISHED = {
+    "elliptic": {"2023.1": {"nodes": 203_769, "edges": 234_355, "steps": 49, "illicit": 4_545, "licit": 42_019, "unknown": 157_205}},
+    "amlworld": {"hi_small": {"edges": 5_078_345, "nodes": 515_088, "illicit": 5_177}},
+}
+
+
+def check_published(dataset: str, version: str, seen: dict[str, int]) -> None:
+    """Raises where a release whose counts are known has others."""
+    want = PUBLISHED[dataset].get(version, {})
+    wrong = {k: (n, seen[k]) for k, n in want.items() if seen[k] != n}
+    if wrong:
+        raise ValueError(f"this is not {dataset} {version}: (published, seen) {wrong}")
+
+
 AML_COLUMNS = ["timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "currency_received", "amount_paid", "currency_paid", "payment_format", "is_laundering"]
 AML_SCHEMA = T.StructType([T.StructField(c, T.TimestampNTZType() if c == "timestamp" else T.DoubleType() if c.startswith("amount") else T.IntegerType() if c == "is_laundering" else T.StringType()) for c in AML_COLUMNS])
 
@@ -105,6 +128,9 @@ def amlworld_graph(raw: DataFrame, d: Dataset) -> GraphTables:
         e = e.join(F.broadcast(codes(e, c)), c, "left").drop(c).withColumnRenamed(f"{c}_code", c)
     nodes = e.select("edge_time", F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.min("edge_time").alias("node_time")).withColumn("y", F.lit(-1)).withColumn("batch_id", F.lit(None).cast("long"))
     cols = ["amount_received", "amount_paid", "currency_received", "currency_paid", "payment_format", "hour_of_day"]
+    if d.version in PUBLISHED["amlworld"] and not d.max_days:  # a prefix has fewer
+        r = e.agg(F.count("*").alias("edges"), F.count_if(F.col("y") == 1).alias("illicit")).first().asDict()
+        check_published("amlworld", d.version, r | {"nodes": nodes.count()})
     return GraphTables(nodes, e, Meta("amlworld", d.version + (f"-d{d.max_days}" if d.max_days else ""), "edge", {"local": cols}, cross_time_edges=True))
 
 
@@ -143,20 +169,41 @@ def make_synthetic(spark: SparkSession, d: Dataset) -> GraphTables:
 LOADERS: dict[str, Callable[[SparkSession, Dataset], GraphTables]] = {"elliptic": read_elliptic, "amlworld": read_amlworld, "synthetic": make_synthetic}
 
 
-def cache_key(d: Dataset) -> str:
-    """A hash of everything the graph is made from, generator settings included."""
-    return hashlib.sha256(json.dumps(d.model_dump(), sort_keys=True).encode()).hexdigest()[:16]
+def cache_key(d: Dataset, files: list | None = None) -> str:
+    """A hash of everything the graph is made from: generator settings, or the files with their lengths and times."""
+    return hashlib.sha256(json.dumps([d.model_dump(), files or []], sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def source_files(spark: SparkSession, d: Dataset) -> list:
+    """(path, length, time) of the files of a dataset, whose content is not read."""
+    if not d.path:
+        return []
+    rows = spark.read.format("binaryFile").load(d.path).select("path", "length", "modificationTime").orderBy("path").limit(100_000).collect()  # a row a file
+    return [list(r) for r in rows]
+
+
+def check_edges(g: GraphTables) -> GraphTables:
+    """The graph, if its edges have ids of their own; raises else."""
+    require(g.edges.groupBy("edge").count().where("count > 1").select("edge"), "edge ids stand more than once")
+    return g
+
+
+def in_order(g: GraphTables) -> DataFrame:
+    """The edges by time; edges of one time in the order of their ids, which is that of their file."""
+    return g.edges.orderBy("edge_time", "edge")
 
 
 def load_graph(spark: SparkSession, d: Dataset, cache: str | None = None) -> GraphTables:
     """The graph of a configuration, from the cache where it stands there, else built and kept."""
     if cache is None:
-        return LOADERS[d.name](spark, d)
-    where = f"{cache.rstrip('/')}/{d.name}-{cache_key(d)}"
+        return check_edges(LOADERS[d.name](spark, d))
+    key = cache_key(d, source_files(spark, d))
+    where = f"{cache.rstrip('/')}/{d.name}-{key}"
     try:
         meta = Meta(**json.loads(spark.read.text(f"{where}/meta").first()[0]))
     except Exception:  # no cache, or one that was not finished: the meta table is written last
-        g = LOADERS[d.name](spark, d)
+        g = check_edges(LOADERS[d.name](spark, d))
+        g.meta.source = key
         g.nodes.write.mode("overwrite").parquet(f"{where}/nodes")
         g.edges.write.mode("overwrite").parquet(f"{where}/edges")
         spark.createDataFrame([(json.dumps(asdict(g.meta)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/meta")

@@ -7,7 +7,7 @@ from pydantic import ValidationError
 from pyspark.sql import functions as F
 
 from cairnflow import features as X
-from cairnflow import pipeline
+from cairnflow import pipeline, store
 from cairnflow.config import Config, Dataset, Features, Model, Regime, Synthetic, load_config
 from cairnflow.models import trees
 from cairnflow.sources import graphs
@@ -65,7 +65,7 @@ def test_synthetic_graph_and_cache(spark, tmp_path):
     f = Features(families=("fan", "degree", "scatter_gather", "lc_cycle"))
     assert len(X.layout(f)) == 42 and len(X.layout(Features(vertex_stats=False))) == 20
     u = X.unit_features(g, f)
-    assert u.count() == 300 and set(u.columns) == {"unit", *X.layout(f)}
+    assert u.count() == 300 and u.columns == ["unit", *X.layout(f, "node")] and len(X.layout(f, "node")) == 36
 
 
 def test_bank_csv_is_read_by_position(spark, tmp_path):
@@ -110,12 +110,23 @@ def test_smoke_end_to_end(spark, tmp_path, monkeypatch):
     out = tmp_path / "out"
     files = pipeline.run_benchmark(spark, cfg, out)
     assert all(p.is_file() for p in files.values())
-    runs = spark.read.parquet(str(out / "runs"))
-    logged = {r["metric"]: r["value"] for r in runs.collect()}
-    pred = spark.read.parquet(str(out / "predictions" / runs.first()["run_id"]))
+    parent = store.latest_parent(spark, str(out), "default")
+    child = store.child_runs(spark, str(out), "default", parent).first()
+    pred = store.predictions(spark, str(out), child["run_id"])
     from cairnflow.operators import evaluation as E
 
-    assert abs(E.confusion(pred, F.col("threshold")).first()["f1"] - logged["f1"]) < 1e-12
+    assert {r["part"] for r in pred.select("part").distinct().collect()} == {"val", "test"}
+    assert abs(E.confusion(pred.where("part = 'test'"), F.col("threshold")).first()["f1"] - child["metrics"]["f1"]) < 1e-12
+    # the second run reads what the first kept, and its results are those of the first
+    first = files["results"].read_text()
+    pipeline.run_benchmark(spark, cfg, out)
+    latest = store.latest_parent(spark, str(out), "default")
+    assert latest != parent and files["results"].read_text() == first
+    assert store.differences(store.comparable(spark, str(out), "default", parent), store.comparable(spark, str(out), "default", latest)).count() == 0
+    assert store.child_runs(spark, str(out), "default").count() == 2
+    for wrong in (lambda: store.latest_parent(spark, str(out), "other"), lambda: store.child_runs(spark, str(out), "default", "none"), lambda: store.predictions(spark, str(out), "none"), lambda: store.child_runs(spark, str(tmp_path / "no"), "default")):
+        with pytest.raises(LookupError):
+            wrong()
     files, flagged = pipeline.run_score(spark, cfg, out)
     health = json.loads(files["health"].read_text())
     assert health["flagged"] == flagged and health["note"] == pipeline.NOTE and "<script" not in files["page"].read_text()
@@ -124,3 +135,59 @@ def test_smoke_end_to_end(spark, tmp_path, monkeypatch):
     assert files["alerts"].read_text() == before
     drift = pipeline.run_drift(spark, cfg, out)
     assert all(p.is_file() for p in drift.values())
+
+
+def test_features_are_kept_and_checked(spark, tmp_path):
+    d = Dataset(name="synthetic", synthetic=Synthetic(n_nodes=200, n_timesteps=5))
+    f = Features(families=("fan", "degree"))
+    g = graphs.load_graph(spark, d, str(tmp_path / "graphs"))
+    first = X.kept_features(g, f, str(tmp_path))
+    path = f"{tmp_path}/features/{X.feature_version(g, f)}"
+    note = store.get(spark, f"{path}/note")
+    assert note["columns"] == X.layout(f, "node") and note["seconds"] >= 0
+    assert X.kept_features(g, f, str(tmp_path)).exceptAll(first).count() == 0
+    kept = spark.read.parquet(f"{path}/rows")
+    kept.where("unit <> 7").write.parquet(f"{path}/less")
+    (tmp_path / "x").mkdir()
+    import shutil
+
+    shutil.rmtree(f"{path}/rows")
+    shutil.move(f"{path}/less", f"{path}/rows")
+    with pytest.raises(store.StaleCache, match="other rows"):
+        X.kept_features(g, f, str(tmp_path))
+    store.put(spark, f"{path}/note", note | {"columns": note["columns"][::-1]})
+    with pytest.raises(store.StaleCache, match="definition"):
+        X.kept_features(g, f, str(tmp_path))
+
+
+def test_every_split_is_checked_for_leaks_and_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("CAIRNFLOW_DATA_DIR", str(tmp_path))
+    rolling = Regime(regime="temporal_rolling", train_end=4, val=(5, 6), test=(7, 8))
+    apart = graphs.load_graph(spark, Dataset(name="synthetic", synthetic=Synthetic(n_nodes=500, n_timesteps=8, illicit_rate=.3, unknown_rate=.3)))
+    splits = pipeline.split_of(apart.units, rolling, apart)
+    assert [s.agg(F.max("batch_id")).first()[0] for s in splits] == [7, 8]
+    assert len(pipeline.split_of(apart.units, rolling, apart)) == 2  # the same again
+    with pytest.raises(store.StaleCache):
+        pipeline.split_of(apart.units.where("unit <> 3 or y < 0").withColumn("unit", F.col("unit") + 1), rolling, apart)
+    late = apart.units.withColumn("y", F.when((F.col("batch_id") == 8) & (F.col("y") == 1), 0).otherwise(F.col("y")))
+    with pytest.raises(ValueError, match="test"):  # the last of the steps has no positives
+        pipeline.split_of(late, rolling, apart)
+    across = graphs.load_graph(spark, Dataset(name="synthetic", synthetic=Synthetic(n_nodes=500, n_timesteps=8, illicit_rate=.3, unknown_rate=.3, cross_time_edges=True)))
+    for r in (rolling, Regime(regime="temporal", train_end=4, val=(5, 6), test=(7, 8))):
+        with pytest.raises(ValueError, match="joining_edges"):
+            pipeline.split_of(across.units, r, across)
+    assert len(pipeline.split_of(across.units, Regime(regime="random"), across)) == 1
+
+
+def test_published_counts_and_edge_ids():
+    good = dict(graphs.PUBLISHED["elliptic"]["2023.1"])
+    graphs.check_published("elliptic", "2023.1", good)
+    graphs.check_published("elliptic", "mine", {})
+    with pytest.raises(ValueError, match="edges"):
+        graphs.check_published("elliptic", "2023.1", good | {"edges": 1})
+
+
+def test_runs_without_tags_are_an_error(spark, tmp_path):
+    store.log(spark, str(tmp_path), [{"run_id": "a", "parent_run_id": "p", "experiment": "e", "kind": "child", "started": 1.0, "seed": 0, "tags": {"regime": "x"}, "params": {}, "metrics": {"f1": .5}}], [])
+    with pytest.raises(ValueError, match="tags"):
+        store.measured(store.child_runs(spark, str(tmp_path), "e"))
