@@ -40,25 +40,15 @@ def feature_version(g: GraphTables, f: Features) -> str:
 
 def edge_features(g: GraphTables, f: Features) -> DataFrame:
     """(edge, src, dst, edge_time, layout columns)"""
-    e = g.edges.select("edge", "src", "dst", "edge_time")
-    out = e
-    if {"fan", "degree"} & set(f.families):
-        for v, o, way in (("dst", "src", "in"), ("src", "dst", "out")):
-            c = G.windowed_counts(e, v, o, f.window)
-            cols = [x for k in ("fan", "degree") if k in f.families for x in G.hist(F.col(k), F.col("degree"), f"gfp_{k}_{way}", f.bins)]
-            out = out.join(c.select(F.col("vertex").alias(v), "edge_time", *cols), [v, "edge_time"])
+    e = out = g.edges.select("edge", "src", "dst", "edge_time")
+    if {"fan", "degree"} & set(f.families) or f.vertex_stats:
+        out = G.with_ends(e, G.vertex_statistics(e, f.window), prefix="gfp_", families=f.families, bins=f.bins, stats=f.vertex_stats)
     for fam, make in (("scatter_gather", G.scatter_gather), ("lc_cycle", lambda x, w: G.cycles(x, w, f.cycle_len))):
         if fam in f.families:
             p = make(e, f.window)
             have = [c for c in p.columns if "_bin" in c]
             ren = p.select("src", "dst", "edge_time", *(F.col(c).alias(f"gfp_{c}") for c in have))
             out = out.join(ren, ["src", "dst", "edge_time"], "left")
-    if f.vertex_stats:
-        for end in ("src", "dst"):
-            asks = e.select(F.col(end).alias("vertex"), "edge_time").distinct()
-            for way, (v, o) in (("out", ("src", "dst")), ("in", ("dst", "src"))):
-                s = G.as_of(G.cumulative_counts(e, v, o), asks, ["fan", "degree", "ratio"])
-                out = out.join(s.select(F.col("vertex").alias(end), "edge_time", *(F.col(x).alias(f"gfp_vs_{end}_{way}_{x}") for x in ("fan", "degree", "ratio"))), [end, "edge_time"])
     return out.select("edge", "src", "dst", "edge_time", *((F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0)).cast("double").alias(c) for c in layout(f)))
 
 

@@ -66,19 +66,54 @@ def as_of(counts: DataFrame, asks: DataFrame, fields: list[str]) -> DataFrame:
     return got.where("_q = 1").drop("_q")
 
 
+WAYS = ("out", "in")
+
+
+def vertex_statistics(edges: DataFrame, w: int) -> DataFrame:
+    """All counts of a vertex at each time it acts, as sender or receiver: (vertex, edge_time) and, for "out" and "in",
+    {way}_fan and {way}_degree within the window and {way}_all_fan, {way}_all_degree, {way}_all_ratio over all time.
+
+    One series per vertex carries them all, so each edge meets its ends' counts by one join an end, and what a vertex has
+    sent is known where it only receives. Pairs of one time are added up before anything is ordered.
+    """
+    ends = F.array(F.struct(F.col("src").alias("vertex"), F.col("dst").alias("other"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("vertex"), F.col("src").alias("other"), F.lit(1).alias("way")))
+    days = edges.select("edge_time", F.inline(ends)).groupBy("vertex", "way", "other", "edge_time").agg(F.count("*").alias("n"))
+    pair = Window.partitionBy("vertex", "way", "other").orderBy("edge_time")
+    days = days.select("*", F.lead("edge_time").over(pair).alias("_next"), (F.row_number().over(pair) == 1).cast("long").alias("_new"))
+    end, none, n = F.col("edge_time") + w, F.lit(0).cast("long"), F.col("n")
+    step = lambda t, fan, degree, new, total: F.struct(t.alias("t"), fan.alias("fan"), degree.alias("degree"), new.alias("all_fan"), total.alias("all_degree"))
+    steps = F.array(
+        step(F.col("edge_time"), none + 1, n, F.col("_new"), n),
+        step(F.least(end, F.coalesce("_next", end)), none - 1, none, none, none),
+        step(end, none, -n, none, none),
+    )
+    kinds = ("fan", "degree", "all_fan", "all_degree")
+    sums = [F.sum(F.when(F.col("way") == i, F.col(k)).otherwise(0)).alias(f"{way}_{k}") for i, way in enumerate(WAYS) for k in kinds]
+    deltas = days.select("vertex", "way", F.inline(steps)).groupBy("vertex", "t").agg(*sums)
+    run = Window.partitionBy("vertex").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    acts = (F.col("out_all_degree") + F.col("in_all_degree") > 0).alias("_acts")
+    got = deltas.select("vertex", F.col("t").alias("edge_time"), acts, *(F.sum(f"{way}_{k}").over(run).alias(f"{way}_{k}") for way in WAYS for k in kinds)).where("_acts").drop("_acts")
+    return got.withColumns({f"{way}_all_ratio": F.when(F.col(f"{way}_all_degree") > 0, F.col(f"{way}_all_fan") / F.col(f"{way}_all_degree")).otherwise(0.0) for way in WAYS})
+
+
+def end_columns(end: str, prefix: str = "", families: tuple[str, ...] = ("fan", "degree"), bins: tuple[int, ...] = BINS, stats: bool = True) -> list[Column]:
+    """The columns of vertex_statistics as an edge has them from one of its ends: bins of the end's own way, cumulative statistics of both."""
+    way = "in" if end == "dst" else "out"
+    out = [c for k in ("fan", "degree") if k in families for c in hist(F.col(f"{way}_{k}"), F.col(f"{way}_degree"), f"{prefix}{k}_{way}", bins)]
+    return out + ([F.col(f"{w}_all_{x}").alias(f"{prefix}vs_{end}_{w}_{x}") for w in WAYS for x in ("fan", "degree", "ratio")] if stats else [])
+
+
+def with_ends(edges: DataFrame, statistics: DataFrame, **kw) -> DataFrame:
+    """edges with end_columns of both ends."""
+    for end in ("dst", "src"):
+        edges = edges.join(statistics.select(F.col("vertex").alias(end), "edge_time", *end_columns(end, **kw)), [end, "edge_time"])
+    return edges
+
+
 def edge_features(edges: DataFrame, w: int, key: list[str]) -> DataFrame:
     """Per edge: fan and degree bins of both ends within the window, and cumulative statistics of both ends."""
-    ins, outs = windowed_counts(edges, "dst", "src", w), windowed_counts(edges, "src", "dst", w)
-    f_in = ins.select(F.col("vertex").alias("dst"), "edge_time", *hist(F.col("fan"), F.col("degree"), "fan_in"), *hist(F.col("degree"), F.col("degree"), "degree_in"))
-    f_out = outs.select(F.col("vertex").alias("src"), "edge_time", *hist(F.col("fan"), F.col("degree"), "fan_out"), *hist(F.col("degree"), F.col("degree"), "degree_out"))
-    out = edges.select(*key, "src", "dst", "edge_time").join(f_in, ["dst", "edge_time"]).join(f_out, ["src", "edge_time"])
-    asks = {"src": edges.select(F.col("src").alias("vertex"), "edge_time").distinct(), "dst": edges.select(F.col("dst").alias("vertex"), "edge_time").distinct()}
-    stats = {"out": cumulative_counts(edges, "src", "dst"), "in": cumulative_counts(edges, "dst", "src")}
-    for end in ("src", "dst"):
-        for way in ("out", "in"):
-            s = as_of(stats[way], asks[end], ["fan", "degree", "ratio"])
-            out = out.join(s.select(F.col("vertex").alias(end), "edge_time", *(F.col(x).alias(f"vs_{end}_{way}_{x}") for x in ("fan", "degree", "ratio"))), [end, "edge_time"])
-    return out
+    e = cut(edges.select(*key, "src", "dst", "edge_time"))  # read three times
+    return with_ends(e, vertex_statistics(e, w))
 
 
 def _near(edges: DataFrame, w: int, names: dict[str, str]) -> DataFrame:
@@ -93,22 +128,19 @@ def _within(late: Column, early: Column, w: int) -> Column:
 
 def scatter_gather(edges: DataFrame, w: int) -> DataFrame:
     """Per distinct edge: patterns u -> m -> v with two or more middles in the window that it is part of, by size bin."""
-    e = edges.where("src <> dst").select("src", "dst", "edge_time").distinct()
-    b = F.floor(F.col("t") / w)
+    e = cut(edges.where("src <> dst").select("src", "dst", "edge_time").distinct())
 
-    def role(u: str, v: str, prefix: str) -> DataFrame:
+    def role(u: str, v: str) -> DataFrame:
         # u is the end whose edge (u, m) at t is scored; its partners (m, v) may stand anywhere in the window
-        ends = e.select(F.col(u).alias("u"), F.col("edge_time").alias("t")).distinct().withColumn("_b", b)
+        ends = e.select(F.col(u).alias("u"), F.col("edge_time").alias("t")).distinct().withColumn("_b", F.floor(F.col("t") / w))
         first = _near(e, w, {u: "u", v: "m", "edge_time": "t1"})
-        mids = ends.join(first, ["u", "_b"]).where(_within(F.col("t"), F.col("t1"), w)).select("u", "t", "m", "_b").distinct()
+        mids = ends.join(first, ["u", "_b"]).where(_within(F.col("t"), F.col("t1"), w)).groupBy("u", "t", "m", "_b").agg(F.max(F.col("t1") == F.col("t")).alias("now"))
         second = _near(e, w, {u: "m", v: "v", "edge_time": "t2"})
-        paths = mids.join(second, ["m", "_b"]).where(_within(F.col("t"), F.col("t2"), w) & (F.col("v") != F.col("u"))).select("u", "t", "m", "v").distinct()
-        sized = paths.groupBy("u", "t", "v").agg(F.count("*").alias("size")).where("size >= 2")
-        at_t = e.select(F.col(u).alias("u"), F.col(v).alias("m"), F.col("edge_time").alias("t"))
-        hits = paths.join(sized, ["u", "t", "v"]).join(at_t, ["u", "m", "t"])
-        return hits.select(F.col("u").alias(u), F.col("m").alias(v), F.col("t").alias("edge_time"), bin_of(F.col("size")).alias("bin"))
+        paths = mids.join(second, ["m", "_b"]).where(_within(F.col("t"), F.col("t2"), w) & (F.col("v") != F.col("u"))).select("u", "t", "m", "v", "now").distinct()
+        sized = paths.select("u", "t", "m", "now", F.count("*").over(Window.partitionBy("u", "t", "v")).alias("size"))
+        return sized.where("now and size >= 2").select(F.col("u").alias(u), F.col("m").alias(v), F.col("t").alias("edge_time"), bin_of(F.col("size")).alias("bin"))
 
-    both = role("src", "dst", "s").unionByName(role("dst", "src", "g"))
+    both = role("src", "dst").unionByName(role("dst", "src"))
     return both.groupBy("src", "dst", "edge_time").agg(*(F.count_if(F.col("bin") == k).alias(f"scatter_gather_bin{k}") for k in BINS))
 
 
@@ -120,7 +152,7 @@ def _cycle_rows(edges: DataFrame, w: int, longest: int, each: bool) -> DataFrame
     """
     if not 2 <= longest <= 10:
         raise ValueError("cycles have 2 to 10 accounts")
-    e = edges.where("src <> dst").select("src", "dst", "edge_time").distinct()
+    e = cut(edges.where("src <> dst").select("src", "dst", "edge_time").distinct())
     step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_time").alias("t"), F.floor(F.col("edge_time") / w).alias("_b"), F.col("dst").alias("_last"), F.array("dst").alias("_path"))
     hop = _near(e, w, {"src": "_last", "dst": "_x", "edge_time": "_t1"})
     out = None
