@@ -145,7 +145,16 @@ def _clause(side: str) -> Column:
 
 
 def statements(trans: DataFrame, feeds: DataFrame) -> DataFrame:
-    """trans with, for each side, its source and the sum the memo writes out: {paid,received}_{src,sum,x,cur,regime}."""
+    """trans with, for each side, its source and the sum the memo writes out: {paid,received}_{src,sum,x,cur,regime}.
+
+    Memos that speak of a side take a path of their own. Their patterns make the generated code too long for the JVM to
+    compile, which would then be interpreted for every row.
+    """
+    speaks = F.coalesce(F.col("memo").rlike(rf"(?i)(?<![\p{{L}}])(?:{'|'.join(SIDE_WORDS.values())})(?![\p{{L}}])"), F.lit(False))
+    return _stated(trans.where(~speaks), feeds, False).unionByName(_stated(trans.where(speaks), feeds, True))
+
+
+def _stated(trans: DataFrame, feeds: DataFrame, memos: bool) -> DataFrame:
     date = F.regexp_extract("note", r"(\d{1,2})\.(\d{1,2})\.(\d{4})", 0)
     iso = F.regexp_extract("note", r"\d{4}-\d{2}-\d{2}", 0)
     turns = feeds.select(
@@ -157,8 +166,13 @@ def statements(trans: DataFrame, feeds: DataFrame) -> DataFrame:
     part = F.when(F.col("_turn").isNull(), F.lit("")).when(F.to_date("timestamp") <= F.col("_turn"), F.lit("<")).otherwise(F.lit(">"))
     out = df
     for side in ("paid", "received"):
-        clause = F.when(F.col("memo").isNotNull() & (F.col("memo") != ""), _clause(side)).otherwise(F.lit(""))
-        out = out.withColumn(f"_{side}_clause", clause)
+        base = F.concat_ws("|", F.lit("T"), F.coalesce(F.col("feed_id").cast("string"), F.lit("")), part, F.lit(side[0]))
+        typed = F.concat_ws("|", base, F.coalesce(_clean(f"currency_{side}"), F.lit("")))
+        out = out.withColumn(f"{side}_x", F.col(f"amount_{side}")).withColumn(f"{side}_cur", _clean(f"currency_{side}")).withColumn(f"{side}_regime", base)
+        if not memos:
+            out = out.withColumn(f"{side}_sum", F.lit(None).cast("double")).withColumn(f"{side}_src", typed)
+            continue
+        out = out.withColumn(f"_{side}_clause", _clause(side))
         c = F.col(f"_{side}_clause")
         digits = F.regexp_extract(c, r"(?<![\p{L}\p{N}'])(\d(?:[\d.,\s   '’]*\d)?)(?![\p{L}\p{N}])", 1)
         unit = F.when(c == "", F.lit("")).otherwise(F.trim(F.regexp_extract(c, r"(?:\b(?:in|en|as)\b|=)\s+([^,;]{1,60}?)\s*(?:,|$)", 1)))
@@ -171,16 +185,7 @@ def statements(trans: DataFrame, feeds: DataFrame) -> DataFrame:
         decimal = F.concat(F.regexp_replace(F.regexp_replace(bare, r"[.,]\d+$", ""), "[.,]", ""), F.lit("."), last)
         value = F.when(last == "", whole).when(both, decimal).when(many | three, whole).otherwise(decimal)
         said = (unit == "") & (digits != "")
-        src = F.when(unit != "", F.concat(F.lit("M|"), F.lower(unit))).otherwise(
-            F.concat_ws("|", F.lit("T"), F.coalesce(F.col("feed_id").cast("string"), F.lit("")), part, F.lit(side[0]), F.coalesce(_clean(f"currency_{side}"), F.lit("")))
-        )
-        out = (
-            out.withColumn(f"{side}_x", F.col(f"amount_{side}"))
-            .withColumn(f"{side}_sum", F.when((c != "") & said, value.try_cast("double")))
-            .withColumn(f"{side}_cur", _clean(f"currency_{side}"))
-            .withColumn(f"{side}_src", src)
-            .withColumn(f"{side}_regime", F.concat_ws("|", F.lit("T"), F.coalesce(F.col("feed_id").cast("string"), F.lit("")), part, F.lit(side[0])))
-        )
+        out = out.withColumn(f"{side}_sum", F.when((c != "") & said, value.try_cast("double"))).withColumn(f"{side}_src", F.when(unit != "", F.concat(F.lit("M|"), F.lower(unit))).otherwise(typed))
     return out.drop("_paid_clause", "_received_clause", "_feed", "_turn")
 
 
