@@ -1,7 +1,7 @@
 """Metrics, curves and thresholds as DataFrames to DataFrames, over (keys, y, p).
 
-Scores are first grouped by distinct value. Running sums over one ungrouped score list would order all rows in one
-partition, so they are cut at quantiles, summed per cut, and each cut continues from the sums before it.
+Scores are first grouped by distinct value. Running sums over one score list would order all its rows in one partition, so
+lists are cut into ranges of scores, summed per range, and each range goes on from the sums before it.
 """
 
 from __future__ import annotations
@@ -11,30 +11,34 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import t_quantile
 
-CUTS = 64
-
-
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def range_of(p: Column) -> Column:
+    """The range a score stands in, in order of scores; fine near 0 and 1, where probabilities crowd.
+
+    It depends on the score alone, so no pass over the scores is needed to find it.
+    """
+    inside = F.floor(8 * F.log(p / (1 - p)))
+    return F.when((p > 0) & (p < 1), inside).when(p <= 0, F.lit(-1_000_000) + F.floor(8 * p)).otherwise(F.lit(1_000_000) + F.floor(8 * p))
+
+
 def score_steps(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, p, pos, n, tp, m, all_pos, all_n): running positives and counts by falling score, and the totals."""
+    """(keys, p, pos, n, tp, m, all_pos, all_n): running positives and counts by falling score, and the totals.
+
+    Within a key each range of scores is ordered by itself and goes on from the sums of those above it.
+    """
     keys = keys or []
-    by = pred.groupBy(*keys, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*keys)
-        return by.select("*", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("m"), F.sum("pos").over(whole).alias("all_pos"), F.sum("n").over(whole).alias("all_n"))
-    edges = sorted(set(by.approxQuantile("p", [i / CUTS for i in range(1, CUTS)], 0.01)), reverse=True)
-    cut = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e >= F.col("p"))) if edges else F.lit(0)
-    by = by.withColumn("_c", cut)
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # at most CUTS rows
-    every = Window.partitionBy(F.lit(0))
-    sums = by.groupBy("_c").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
-    sums = sums.select("_c", F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_m"), F.sum("_pos").over(every).alias("all_pos"), F.sum("_n").over(every).alias("all_n"))
-    w = Window.partitionBy("_c").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.join(F.broadcast(sums), "_c").select("p", "pos", "n", (F.sum("pos").over(w) + F.col("_tp")).alias("tp"), (F.sum("n").over(w) + F.col("_m")).alias("m"), "all_pos", "all_n")
+    by = pred.groupBy(*keys, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("_c", range_of(F.col("p")))
+    sums = by.groupBy(*keys, "_c").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))  # a few hundred rows a key
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = own.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *keys, "_c", F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_m"), F.sum("_pos").over(own).alias("all_pos"), F.sum("_n").over(own).alias("all_n"))
+    w = Window.partitionBy(*keys, "_c").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = by.select("*", F.sum("pos").over(w).alias("_p"), F.sum("n").over(w).alias("_k"))
+    return steps.join(sums, [*keys, "_c"]).select(*keys, "p", "pos", "n", (F.col("_p") + F.col("_tp")).alias("tp"), (F.col("_k") + F.col("_m")).alias("m"), "all_pos", "all_n")
 
 
 def pr_curve(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -77,7 +77,11 @@ def vertex_statistics(edges: DataFrame, w: int) -> DataFrame:
     sent is known where it only receives. Pairs of one time are added up before anything is ordered.
     """
     ends = F.array(F.struct(F.col("src").alias("vertex"), F.col("dst").alias("other"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("vertex"), F.col("src").alias("other"), F.lit(1).alias("way")))
-    days = edges.select("edge_time", F.inline(ends)).groupBy("vertex", "way", "other", "edge_time").agg(F.count("*").alias("n"))
+    return pair_statistics(edges.select("edge_time", F.inline(ends)).groupBy("vertex", "way", "other", "edge_time").agg(F.count("*").alias("n")), w)
+
+
+def pair_statistics(days: DataFrame, w: int) -> DataFrame:
+    """vertex_statistics of edges that are added up already: days(vertex, way, other, edge_time, n), way 0 for out and 1 for in."""
     pair = Window.partitionBy("vertex", "way", "other").orderBy("edge_time")
     days = days.select("*", F.lead("edge_time").over(pair).alias("_next"), (F.row_number().over(pair) == 1).cast("long").alias("_new"))
     end, none, n = F.col("edge_time") + w, F.lit(0).cast("long"), F.col("n")

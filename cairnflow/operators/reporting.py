@@ -65,6 +65,15 @@ def top_features(contributions: dict[str, Column], k: int = 3) -> Column:
     return F.array_join(F.transform(F.slice(F.array_sort(arr), 1, k), lambda s: F.format_string("%s %+.2f", s["name"], -s["neg"])), "; ")
 
 
+def largest_component(edges: DataFrame, components: DataFrame, most: int) -> DataFrame:
+    """(node, accounts, first_time) of the largest component of at most so many accounts; of equal ones that of the earliest
+    edge, then the least name. edges(src, dst, edge_time), components(node, component)."""
+    sized = components.groupBy("component").agg(F.count("*").alias("accounts")).where(F.col("accounts") <= most)
+    first = edges.select(F.col("src").alias("node"), "edge_time").join(components, "node").groupBy("component").agg(F.min("edge_time").alias("first_time"))
+    best = sized.join(first, "component").orderBy(F.desc("accounts"), "first_time", "component").limit(1)
+    return components.join(F.broadcast(best), "component").select("node", "accounts", "first_time")  # one row
+
+
 def alert_load(at_recall: DataFrame) -> DataFrame:
     """precision at recall with the alerts looked at per case caught."""
     return at_recall.withColumn("alerts_per_case", 1 / F.col("precision"))

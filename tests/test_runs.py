@@ -11,7 +11,6 @@ from cairnflow import pipeline, store
 from cairnflow.config import Config, Dataset, Features, Model, Regime, Synthetic, load_config
 from cairnflow.models import trees
 from cairnflow.sources import graphs
-from cairnflow.streaming.forward import ForwardCounts, LateBatch
 
 
 def rows(spark, n=400):
@@ -93,13 +92,26 @@ def test_node_csvs(spark, tmp_path):
             graphs.read_elliptic(spark, Dataset(name="elliptic", path=str(tmp_path)))
 
 
-def test_late_batches_are_an_error(spark):
-    d = ForwardCounts(spark, "v", "t")
-    mk = lambda r: spark.createDataFrame(r, "v long, t long")
-    assert {(r["t"], r["degree"]) for r in d.step(mk([(1, 1), (1, 1), (1, 2)])).collect()} == {(1, 2), (2, 3)}
-    assert [r["degree"] for r in d.step(mk([(1, 2), (2, 3)])).orderBy("v").collect()] == [4, 1]
+def test_forward_driver_equals_the_batch_plan(spark, tmp_path):
+    from cairnflow.operators import graph as G
+    from cairnflow.streaming.forward import ForwardFeatures, LateBatch, replay
+
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b), int(t)) for a, b, t in zip(rng.integers(0, 12, 400), rng.integers(0, 12, 400), rng.integers(0, 20, 400))], "src long, dst long, edge_time long")
+    want = G.vertex_statistics(edges, 3)
+    got = replay(spark, edges, [3, 4, 11, 19], 3, str(tmp_path / "f"))
+    assert got.select(want.columns).exceptAll(want).count() == 0 and want.count() == got.count()
+    driver = ForwardFeatures(spark, str(tmp_path / "f"), 3)  # another driver goes on from what is kept
+    assert driver.note["last"] == 19 and driver.note["batches"] == [0, 1, 2, 3]
+    assert spark.read.parquet(str(tmp_path / "f/state-3/recent")).agg(F.min("edge_time")).first()[0] > 16  # older pairs are evicted
+    driver.step(edges.where("edge_time = 19"), 3)  # delivered again: not counted again
+    assert driver.scored().exceptAll(got).count() == 0
     with pytest.raises(LateBatch):
-        d.step(mk([(1, 1)]))
+        driver.step(edges.where("edge_time = 18"), 4)
+    same = edges.where("edge_time = 19")
+    driver.step(same, 5)  # the latest time may go on
+    twice = G.vertex_statistics(edges.unionByName(same), 3)
+    assert driver.scored().select(twice.columns).exceptAll(twice).count() == 0
 
 
 def test_smoke_end_to_end(spark, tmp_path, monkeypatch):
