@@ -6,7 +6,6 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluation import rank_metrics
 
-PATIENCE = 50
+#: The most trees of a model, how long the validation AP may stand still before growing stops, and how many are grown at first.
+CEILING, PATIENCE, FIRST = 1_000, 50, 64
 
 
 @dataclass
@@ -107,7 +107,8 @@ def contributions(model: BoostedTrees, x: np.ndarray) -> tuple[np.ndarray, float
     """Exact Shapley contributions to the log odds, by paths: (rows, features) and the constant they add to.
 
     A leaf is reached over the distinct features of its path. For a set of known features the leaf's weight is the product
-    of 0 or 1 (the row goes this way) over the known and of the cover share over the others.
+    of 0 or 1 (the row goes this way) over the known and of the cover share over the others; sets of one size are added up
+    together, as the coefficients of a polynomial, so the work is a power of the path's length and not of two.
     """
     phi = np.zeros((len(x), len(model.features)))
     base = 0.0
@@ -129,29 +130,41 @@ def contributions(model: BoostedTrees, x: np.ndarray) -> tuple[np.ndarray, float
             o = [((x[:, f] > path[f][1]) & (x[:, f] <= path[f][2])).astype(np.float64) for f in fs]
             d = len(fs)
             for k, f in enumerate(fs):
-                rest = [j for j in range(d) if j != k]
-                total = np.zeros(len(x))
-                for n in range(d):
-                    weight = math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d)
-                    for known in combinations(rest, n):
-                        term = np.full(len(x), weight)
-                        for j in rest:
-                            term = term * (o[j] if j in known else z[j])
-                        total += term
-                phi[:, f] += v * (o[k] - z[k]) * total
+                sets = np.zeros((d, len(x)))  # by how many of the others are known: the sum, over all such sets, of their products
+                sets[0] = 1.0
+                for j in range(d):
+                    if j != k:
+                        sets[1:] = sets[1:] * z[j] + sets[:-1] * o[j]
+                        sets[0] = sets[0] * z[j]
+                phi[:, f] += v * (o[k] - z[k]) * sum(math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d) * sets[n] for n in range(d))
     return phi, base
 
 
-def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = 20, depth: int = 3, step: float = 0.3, seed: int = 0, patience: int = PATIENCE) -> BoostedTrees:
+def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = CEILING, depth: int = 3, step: float = 0.3, seed: int = 0, patience: int = PATIENCE) -> BoostedTrees:
     """Fits on labelled train rows (y, features), weighting positives by n_neg / n_pos of train, and keeps the trees up to
-    the best validation AP. Every stage is scored in one pass over the validation rows."""
+    the best validation AP. Every stage is scored in one pass over the validation rows.
+
+    Growing stops once `patience` trees have not raised the AP, or at n_trees. Spark grows a number of trees at once, so
+    the number is doubled until one of both is reached; the trees grown before are the same, as nothing is sampled.
+    """
     counts = train.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), F.count_if(~F.col("y").isin(0, 1)).alias("bad")).first()
     if counts["bad"] or not counts["pos"] or not counts["neg"]:
         raise ValueError(f"training rows must be labelled 0 and 1: {counts}")
     weight = counts["neg"] / counts["pos"]
     rows = train.select(F.col("y").cast("double").alias("y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
     vec = VectorAssembler(inputCols=features, outputCol="x").transform(rows.withColumn("w", F.when(F.col("y") == 1, weight).otherwise(1.0)))
-    model = GBTClassifier(labelCol="y", featuresCol="x", weightCol="w", maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=False).fit(vec.select("y", "x", "w"))
+    vec = vec.select("y", "x", "w")
+    grown = min(n_trees, FIRST)
+    while True:
+        got, stopped = _grow(vec, val, features, grown, depth, step, seed, patience, weight)
+        if stopped or grown >= n_trees:
+            return got
+        grown = min(n_trees, 2 * grown)
+
+
+def _grow(vec: DataFrame, val: DataFrame, features: list[str], n_trees: int, depth: int, step: float, seed: int, patience: int, weight: float) -> tuple[BoostedTrees, bool]:
+    """A model of at most n_trees, cut back to the best by validation, and whether its AP stood still for long enough."""
+    model = GBTClassifier(labelCol="y", featuresCol="x", weightCol="w", maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=False).fit(vec)
     trees = []
     for t in model.trees:
         out = Tree()
@@ -175,7 +188,7 @@ def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = 20
             since += 1
             if since >= patience:
                 break
-    return BoostedTrees(features, trees[: best[1]], got.weights[: best[1]], got.info | {"best_iteration": best[1], "val_pr_auc": best[0]})
+    return BoostedTrees(features, trees[: best[1]], got.weights[: best[1]], got.info | {"best_iteration": best[1], "val_pr_auc": best[0]}), since >= patience
 
 
 def folds(df: DataFrame, key: list[str], k: int = 5) -> DataFrame:
@@ -183,14 +196,14 @@ def folds(df: DataFrame, key: list[str], k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in key))), 1, 8), 16, 10).cast("long") % k)
 
 
-def probe_auc(df: DataFrame, key: list[str], features: list[str], k: int = 5, **params) -> float:
-    """Mean ROC AUC of k-fold cross-validation inside df."""
+def probe_auc(df: DataFrame, key: list[str], features: list[str], k: int = 5, n_trees: int = 20, **params) -> float:
+    """Mean ROC AUC of k-fold cross-validation inside df, with models of few trees."""
     c = df.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     if min(c) < k:
         raise ValueError(f"a probe needs at least {k} of each class")
     f = folds(df, key, k)
     out = []
     for i in range(k):
-        m = fit(f.where(F.col("fold") != i), f.where(F.col("fold") == i), features, **params)
+        m = fit(f.where(F.col("fold") != i), f.where(F.col("fold") == i), features, n_trees=n_trees, **params)
         out.append(rank_metrics(m.transform(f.where(F.col("fold") == i).select("y", *features)).select("y", "p")).first()["roc_auc"])
     return float(np.mean(out))

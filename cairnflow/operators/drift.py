@@ -88,6 +88,17 @@ def lead_time(curve: DataFrame, scores: DataFrame, ref_f1: float | Column, drop:
         "detector", "first_flag", "first_drop", (F.col("first_drop") - F.col("first_flag")).alias("lead"), level.alias("drop_level"), ref.alias("ref_f1"))
 
 
+def check_inputs(units: DataFrame, cols: list[str], ref: list[int]) -> None:
+    """Raises where there is nothing to compare: no columns, columns that are missing or no numbers, no reference or no other batch."""
+    kinds = dict(units.dtypes)
+    wrong = [c for c in (*cols, "p") if kinds.get(c, "") not in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    if not cols or wrong:
+        raise ValueError(f"detectors take columns of numbers, not {wrong[:5] or 'none'}")
+    r = units.agg(F.count_if(F.col("batch_id").isin(*ref)).alias("a"), F.count_if(~F.col("batch_id").isin(*ref)).alias("b")).first()
+    if not r["a"] or not r["b"]:
+        raise ValueError(f"{r['a']} units in the reference and {r['b']} beside it: detectors compare the one with the other")
+
+
 def detector_scores(units: DataFrame, cols: list[str], ref: list[int], threshold: Column, bins: int = 10, alpha: float = 0.01, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
     """(detector, batch_id, score) of every batch not in the reference. units(batch_id, p, cols)."""
     is_ref = F.col("batch_id").isin(*ref)

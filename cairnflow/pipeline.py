@@ -80,7 +80,7 @@ def fit(split: DataFrame, g: GraphTables, cfg: Config, m: Model, seed: int) -> F
     cols = X.columns(g, m.features, cfg.features)
     rows = split.select("unit", F.col("batch_id").alias("time"), "y", "part", *cols)
     if m.name == "gbt":
-        p = {"n_trees": int(m.params.get("n_estimators", 20)), "depth": int(m.params.get("max_depth", 3)), "step": float(m.params.get("learning_rate", 0.3))}
+        p = {"n_trees": int(m.params.get("n_estimators", trees.CEILING)), "depth": int(m.params.get("max_depth", 3)), "step": float(m.params.get("learning_rate", 0.3))}
         model = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), cols, seed=seed, **p)
         pred = model.transform(rows.where("part <> 'train'"))
         info = model.info
@@ -186,6 +186,7 @@ def scored_units(f: Fitted, units: DataFrame, window: tuple[int, int], m: Model)
 def flags(units: DataFrame, cols: list[str], ref: list[int], threshold: float, cfg: Config) -> DataFrame:
     """(detector, batch_id, score, threshold, flagged)"""
     d = cfg.drift
+    D.check_inputs(units, cols, ref)
     thr = F.lit(threshold)
     scores = D.detector_scores(units, cols, ref, thr, d.bins, d.ks_alpha, d.detectors)
     if d.calibrate:

@@ -610,8 +610,8 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
     """Test batches scored by boosted trees fitted on train, their number chosen on validation."""
     from ..models import trees
 
-    rows = S.split_temporal(model_rows(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES[:4])
-    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES[:4], n_trees=10)
+    rows = S.split_temporal(model_rows(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES)
+    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES, n_trees=20)
     return m.transform(rows.where("part = 'test'")).select(*KEY, "batch_id", "y", F.col("p").alias("proba"))
 
 
@@ -620,8 +620,8 @@ def tree_contributions(spark: SparkSession, d: str) -> DataFrame:
     """What moved the scores of one batch, by exact path contributions."""
     from ..models import trees
 
-    rows = S.split_temporal(txn(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES[:4])
-    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES[:4], n_trees=5)
+    rows = S.split_temporal(model_rows(spark, d), TRAIN_END, VAL, TEST).select(*KEY, "batch_id", "y", "part", *MODEL_FEATURES)
+    m = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), MODEL_FEATURES, n_trees=10)
     return m.explain(rows.where("batch_id = 38")).select(*KEY, "base", "logit", "contributions", "top_features")
 
 

@@ -153,3 +153,27 @@ def test_temporal_neighbours(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 2), (3, 0, 2), (4, 0, 5)])
     got = [(r["edge_time"], r["k"], r["neighbour"]) for r in G.temporal_neighbours(e, 2, ["edge"]).orderBy("edge_time", "k").collect()]
     assert got == [(1, 1, 1), (2, 1, 2), (2, 2, 3), (5, 1, 4), (5, 2, 2)]
+
+
+def test_checks_against_plain_python(spark):
+    import random
+
+    from cairnflow.operators import checks as C
+    from cairnflow.operators import reporting as R
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.randrange(5), rnd.choice([None, rnd.randrange(50)])) for i in range(300)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "i int, t int, v int")
+    want = {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r["i"]: r["position"] for r in C.positions(df, ["t", "i"]).collect()} == want
+    vs = [r[2] for r in sorted(rows) if r[2] is not None]
+    got = C.order_breaks(df, "i", F.col("v")).first()
+    assert (got["rows"], got["breaks"]) == (len(vs), sum(b < a for a, b in zip(vs, vs[1:])))
+    assert C.repeated(df, ["t"]).count() == 5 and C.repeated(df, ["i"]).count() == 0
+    empty = df.where("i < 0")
+    assert C.positions(empty, ["t"]).count() == 0 and tuple(C.order_breaks(empty, "i", F.col("v")).first()) == (0, 0)
+    # components {1,2,3}, {4,5,6} and one too large; of the two equal ones the earlier
+    e = spark.createDataFrame([(1, 2, 9), (2, 3, 9), (4, 5, 3), (5, 6, 9), *((10, 10 + k, 1) for k in range(1, 9))], "src int, dst int, edge_time int")
+    c = G.components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    assert {tuple(r) for r in R.largest_component(e, c, 5).collect()} == {(4, 3, 3), (5, 3, 3), (6, 3, 3)}

@@ -203,3 +203,25 @@ def test_runs_without_tags_are_an_error(spark, tmp_path):
     store.log(spark, str(tmp_path), [{"run_id": "a", "parent_run_id": "p", "experiment": "e", "kind": "child", "started": 1.0, "seed": 0, "tags": {"regime": "x"}, "params": {}, "metrics": {"f1": .5}}], [])
     with pytest.raises(ValueError, match="tags"):
         store.measured(store.child_runs(spark, str(tmp_path), "e"))
+
+
+def test_growing_stops_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(trees, "FIRST", 3)
+    d = rows(spark, 300)
+    grown = []
+    grow = trees._grow
+    monkeypatch.setattr(trees, "_grow", lambda *a: grown.append(a[3]) or grow(*a))
+    m = trees.fit(d.where("unit < 200"), d.where("unit >= 200"), ["a", "b"], n_trees=40, depth=2, patience=4)
+    assert grown[:2] == [3, 6] and grown == sorted(grown) and len(m.trees) == m.info["best_iteration"] <= grown[-1]
+    again = trees.fit(d.where("unit < 200"), d.where("unit >= 200"), ["a", "b"], n_trees=len(m.trees), depth=2)
+    assert np.allclose(again.margins(np.ones((1, 2)))[-1], m.margins(np.ones((1, 2)))[-1])
+
+
+def test_detectors_refuse_what_cannot_be_compared(spark):
+    from cairnflow.operators import drift as D
+
+    u = spark.createDataFrame([(1, .5, 1.0, "x"), (2, .5, 1.0, "x")], "batch_id int, p double, a double, s string")
+    D.check_inputs(u, ["a"], [1])
+    for cols, ref in (([], [1]), (["s"], [1]), (["none"], [1]), (["a"], [3]), (["a"], [1, 2])):
+        with pytest.raises(ValueError):
+            D.check_inputs(u, cols, ref)
