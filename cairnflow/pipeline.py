@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import os
 import subprocess
 import time
 import uuid
@@ -296,7 +297,15 @@ def smoke_config() -> Config:
 
 
 def run_smoke(spark: SparkSession, out: Path) -> dict[str, Path]:
-    """A benchmark and one scored batch on a small synthetic graph."""
-    cfg = smoke_config()
-    files = run_benchmark(spark, cfg, out)
-    return files | run_score(spark, cfg, out)[0]
+    """A benchmark and one scored batch on a small synthetic graph; what they keep stays in the folder, and the setting is put back."""
+    cfg, name = smoke_config(), "CAIRNFLOW_DATA_DIR"
+    before = os.environ.get(name)
+    os.environ[name] = f"{out}/data"
+    try:
+        files = run_benchmark(spark, cfg, out)
+        return files | run_score(spark, cfg, out)[0]
+    finally:
+        if before is None:
+            del os.environ[name]
+        else:
+            os.environ[name] = before
