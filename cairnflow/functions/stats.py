@@ -50,12 +50,12 @@ def t_quantile(q: float, df: float) -> float:
 
 
 def ks_pvalue(d: float, n1: int, n2: int, exact_up_to: int = 10_000) -> float:
-    """Two-sided p-value of the two-sample statistic: exact where both samples are small enough, else asymptotic."""
+    """Two-sided p-value of the two-sample statistic: exact where neither sample has more than so many records, else asymptotic."""
     if n1 <= 0 or n2 <= 0:
         raise ValueError("both samples need records")
     if d <= 0:
         return 1.0
-    if max(n1, n2) <= exact_up_to and n1 * n2 <= 4_000_000:
+    if max(n1, n2) <= exact_up_to:
         return _ks_exact(d, n1, n2)
     lam = d * math.sqrt(n1 * n2 / (n1 + n2))
     if lam < 0.2:
@@ -64,28 +64,28 @@ def ks_pvalue(d: float, n1: int, n2: int, exact_up_to: int = 10_000) -> float:
 
 
 def _ks_exact(d: float, n1: int, n2: int) -> float:
-    """One less the share of lattice paths from (0, 0) to (n1, n2) that stay closer than d to the diagonal."""
+    """One less the share of lattice paths from (0, 0) to (n1, n2) that stay closer than d to the diagonal.
+
+    Paths go step by step, all places reached by so many steps at once; weights are kept as probabilities: a path goes up or
+    right in proportion to what is left. Only places near enough to the diagonal are looked at.
+    """
     import numpy as np
 
-    n1, n2 = max(n1, n2), min(n1, n2)
+    total = n1 + n2
     edge = d * n1 * n2 - 1e-9 * n1 * n2
-    j = np.arange(n2 + 1)
-    inside = lambda i: np.abs(i * n2 - j * n1) < edge
-    # weights of the paths, kept as probabilities: a path to (i, j) goes up or right in proportion to what is left
-    row = np.zeros(n2 + 1)
-    row[0] = 1.0
-    keep = inside(0)
-    for k in range(1, n2 + 1):
-        row[k] = row[k - 1] * (n2 - k + 1) / (n1 + n2 - k + 1) if keep[k] else 0.0
-    for i in range(1, n1 + 1):
-        keep = inside(i)
-        new = np.zeros(n2 + 1)
-        up = row * (n1 - i + 1) / (n1 + n2 - i + 1 - j)
-        new[0] = up[0] if keep[0] else 0.0
-        for k in range(1, n2 + 1):
-            new[k] = (up[k] + new[k - 1] * (n2 - k + 1) / (n1 + n2 - i - k + 1)) if keep[k] else 0.0
-        row = new
-    return float(min(1.0, max(0.0, 1.0 - row[n2])))
+    at = np.zeros(n1 + 2)  # by the place i of n1, one further on, so that place -1 is 0
+    at[1] = 1.0 if edge > 0 else 0.0
+    for s in range(1, total + 1):
+        near = math.ceil((s * n1 - edge) / total), math.floor((s * n1 + edge) / total)
+        lo, hi = max(0, s - n2, near[0]), min(n1, s, near[1])
+        if lo > hi:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        new = (at[lo : hi + 1] * (n1 - i + 1) + at[lo + 1 : hi + 2] * (n2 - (s - i) + 1)) / (total - s + 1)
+        new[np.abs(i * total - s * n1) >= edge] = 0.0
+        at[max(0, lo - 1) : min(n1, hi + 1) + 2] = 0.0  # the band moves on by at most one place
+        at[lo + 1 : hi + 2] = new
+    return float(min(1.0, max(0.0, 1.0 - at[n1 + 1])))
 
 
 def register(spark) -> None:

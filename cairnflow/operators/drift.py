@@ -6,10 +6,12 @@ order of a column is its distinct values, not its rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ks_pvalue
+from .running import quantiles, running_sums
 
 FLOOR = 1e-4
 DETECTORS = ("psi", "ks", "conf", "alert")
@@ -27,8 +29,7 @@ def psi(ref: DataFrame, cur: DataFrame, bins: int = 10, by: list[str] | None = N
     (a, b]; shares are floored.
     """
     by = by or []
-    q = ", ".join(repr(i / bins) for i in range(bins + 1))
-    cuts = ref.groupBy("column").agg(F.array_distinct(F.expr(f"percentile(value, array({q}))")).alias("_q"))
+    cuts = quantiles(ref, ["column"], "value", [i / bins for i in range(bins + 1)]).select("column", F.array_distinct("quantiles").alias("_q"))
     cuts = cuts.select("column", F.when(F.size("_q") > 1, F.slice("_q", 1, F.size("_q") - 1)).otherwise(F.col("_q")).alias("_cuts"))
     b = F.size(F.filter("_cuts", lambda c: c < F.col("value")))
     count = lambda df, keys: df.join(F.broadcast(cuts), "column").groupBy(*keys, "column", b.alias("b")).agg(F.count("*").alias("n"))
@@ -48,15 +49,16 @@ def ks(ref: DataFrame, cur: DataFrame, by: list[str] | None = None) -> DataFrame
     groups = c.select(*by, "column").distinct()
     r = ref.groupBy("column", "value").agg(F.count("*").alias("r"))
     both = groups.join(r, "column").join(c, [*by, "column", "value"], "full_outer").na.fill(0, ["r", "c"])
-    run = Window.partitionBy(*by, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by, "column")
-    f = both.select(*by, "column", F.sum("r").over(run).alias("_fr"), F.sum("c").over(run).alias("_fc"), F.sum("r").over(every).alias("n_ref"), F.sum("c").over(every).alias("n_cur"))
+    f = running_sums(both, [*by, "column"], "value", ["r", "c"]).select(*by, "column", F.col("r_run").alias("_fr"), F.col("c_run").alias("_fc"), F.col("r_all").alias("n_ref"), F.col("c_all").alias("n_cur"))
     return f.groupBy(*by, "column").agg(F.max(F.abs(F.col("_fr") / F.col("n_ref") - F.col("_fc") / F.col("n_cur"))).alias("d"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
 
 
 def ks_share(stats: DataFrame, by: list[str], alpha: float = 0.01) -> DataFrame:
     """(by, ks): the share of columns whose KS p-value is below alpha. Rows of stats are columns by batches, not units."""
-    p = F.udf(lambda d, a, b: float(ks_pvalue(d, a, b)), "double")
+    @F.pandas_udf("double")
+    def p(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ks_pvalue(float(x), int(m), int(n)) for x, m, n in zip(d, a, b)], dtype="float64")
+
     return stats.withColumn("_p", p("d", "n_ref", "n_cur")).groupBy(*by).agg(F.avg((F.col("_p") < alpha).cast("double")).alias("ks"))
 
 

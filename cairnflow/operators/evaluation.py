@@ -1,44 +1,27 @@
 """Metrics, curves and thresholds as DataFrames to DataFrames, over (keys, y, p).
 
-Scores are first grouped by distinct value. Running sums over one score list would order all its rows in one partition, so
-lists are cut into ranges of scores, summed per range, and each range goes on from the sums before it.
+Scores are first grouped by distinct value, then summed up in order, range by range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import t_quantile
+from .running import quantiles, range_of_score, running_sums
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def range_of(p: Column) -> Column:
-    """The range a score stands in, in order of scores; fine near 0 and 1, where probabilities crowd.
-
-    It depends on the score alone, so no pass over the scores is needed to find it.
-    """
-    inside = F.floor(8 * F.log(p / (1 - p)))
-    return F.when((p > 0) & (p < 1), inside).when(p <= 0, F.lit(-1_000_000) + F.floor(8 * p)).otherwise(F.lit(1_000_000) + F.floor(8 * p))
-
-
 def score_steps(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, p, pos, n, tp, m, all_pos, all_n): running positives and counts by falling score, and the totals.
-
-    Within a key each range of scores is ordered by itself and goes on from the sums of those above it.
-    """
+    """(keys, p, pos, n, tp, m, all_pos, all_n): running positives and counts by falling score, and the totals."""
     keys = keys or []
-    by = pred.groupBy(*keys, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("_c", range_of(F.col("p")))
-    sums = by.groupBy(*keys, "_c").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))  # a few hundred rows a key
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = own.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *keys, "_c", F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_m"), F.sum("_pos").over(own).alias("all_pos"), F.sum("_n").over(own).alias("all_n"))
-    w = Window.partitionBy(*keys, "_c").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = by.select("*", F.sum("pos").over(w).alias("_p"), F.sum("n").over(w).alias("_k"))
-    return steps.join(sums, [*keys, "_c"]).select(*keys, "p", "pos", "n", (F.col("_p") + F.col("_tp")).alias("tp"), (F.col("_k") + F.col("_m")).alias("m"), "all_pos", "all_n")
+    by = pred.groupBy(*keys, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
+    steps = running_sums(by, keys, "p", ["pos", "n"], falling=True, range_of=range_of_score)
+    return steps.select(*keys, "p", "pos", "n", F.col("pos_run").alias("tp"), F.col("n_run").alias("m"), F.col("pos_all").alias("all_pos"), F.col("n_all").alias("all_n"))
 
 
 def pr_curve(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -91,10 +74,10 @@ def per_timestep(pred: DataFrame, threshold: Column) -> DataFrame:
 def event_windows(pred: DataFrame, event: int, threshold: Column) -> DataFrame:
     """(window, n, n_pos, roc_auc, recall, pos_median) before and from the event on."""
     p = pred.withColumn("window", F.when(F.col("time") < event, "before").otherwise("after"))
-    base = p.groupBy("window").agg(
-        F.count_if((F.col("y") == 1) & (F.col("p") >= threshold)).alias("_tp"), F.expr("percentile(CASE WHEN y = 1 THEN p END, 0.5)").alias("pos_median"))
+    base = p.groupBy("window").agg(F.count_if((F.col("y") == 1) & (F.col("p") >= threshold)).alias("_tp"))
+    median = quantiles(p.where("y = 1"), ["window"], "p", [0.5]).select("window", F.col("quantiles")[0].alias("pos_median"))
     r = rank_metrics(p, ["window"])
-    return base.join(r, "window").select("window", "n", "n_pos", "roc_auc", ratio(F.col("_tp"), F.col("n_pos")).alias("recall"), "pos_median")
+    return base.join(r, "window").join(median, "window", "left").select("window", "n", "n_pos", "roc_auc", ratio(F.col("_tp"), F.col("n_pos")).alias("recall"), "pos_median")
 
 
 def seed_interval(runs: DataFrame, keys: list[str], value: str, conf: float = 0.95) -> DataFrame:
@@ -102,9 +85,12 @@ def seed_interval(runs: DataFrame, keys: list[str], value: str, conf: float = 0.
     if not 0 < conf < 1:
         raise ValueError("conf lies between 0 and 1")
     g = runs.groupBy(*keys).agg(F.avg(value).alias("seed_mean"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n_seeds"))
-    t = F.create_map(*[F.lit(x) for n in range(2, 65) for x in (n, t_quantile((1 + conf) / 2, n - 1))])
-    z = t_quantile((1 + conf) / 2, 64)
-    half = F.when(F.col("n_seeds") >= 2, F.coalesce(F.try_element_at(t, F.col("n_seeds").cast("int")), F.lit(z)) * F.col("_s") / F.sqrt("n_seeds"))
+
+    @F.pandas_udf("double")
+    def t(n: pd.Series) -> pd.Series:  # a row a configuration and metric
+        return pd.Series([t_quantile((1 + conf) / 2, float(k) - 1) if k >= 2 else None for k in n], dtype="float64")
+
+    half = F.when(F.col("n_seeds") >= 2, t("n_seeds") * F.col("_s") / F.sqrt("n_seeds"))
     return g.select(*keys, "seed_mean", (F.col("seed_mean") - half).alias("ci_low"), (F.col("seed_mean") + half).alias("ci_high"), "n_seeds")
 
 

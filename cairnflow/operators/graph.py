@@ -58,14 +58,6 @@ def cumulative_counts(edges: DataFrame, vertex: str, other: str) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("degree") > 0, F.col("fan") / F.col("degree")).otherwise(0.0))
 
 
-def as_of(counts: DataFrame, asks: DataFrame, fields: list[str]) -> DataFrame:
-    """For each (vertex, edge_time) asked: the latest counts at or before; zeros before the first."""
-    both = counts.select("vertex", "edge_time", F.lit(0).alias("_q"), *fields).unionByName(asks.select("vertex", "edge_time", F.lit(1).alias("_q"), *(F.lit(None).cast(counts.schema[f].dataType).alias(f) for f in fields)))
-    run = Window.partitionBy("vertex").orderBy("edge_time", "_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = both.select("vertex", "edge_time", "_q", *(F.coalesce(F.last(f, ignorenulls=True).over(run), F.lit(0)).alias(f) for f in fields))
-    return got.where("_q = 1").drop("_q")
-
-
 WAYS = ("out", "in")
 
 

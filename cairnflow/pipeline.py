@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import features as X
 from . import report, store
 from .config import METRICS, Config, Dataset, Model, Regime, Score, Synthetic, root
-from .models import sage, trees
+from .models import get_model, sage, trees
 from .operators import drift as D
 from .operators import evaluation as E
 from .operators import reporting as R
@@ -82,7 +82,7 @@ def fit(split: DataFrame, g: GraphTables, cfg: Config, m: Model, seed: int) -> F
     rows = split.select("unit", F.col("batch_id").alias("time"), "y", "part", *cols)
     if m.name == "gbt":
         p = {"n_trees": int(m.params.get("n_estimators", trees.CEILING)), "depth": int(m.params.get("max_depth", 3)), "step": float(m.params.get("learning_rate", 0.3))}
-        model = trees.fit(rows.where("part = 'train'"), rows.where("part = 'val'"), cols, seed=seed, **p)
+        model = get_model(m.name).fit(rows.where("part = 'train'"), rows.where("part = 'val'"), cols, seed=seed, **p)
         pred = model.transform(rows.where("part <> 'train'"))
         info = model.info
     else:
@@ -92,9 +92,10 @@ def fit(split: DataFrame, g: GraphTables, cfg: Config, m: Model, seed: int) -> F
             rows = split.select("unit", F.col("batch_id").alias("time"), "y", "part").join(hops.withColumnRenamed("node", "unit"), "unit")
         else:
             use = cols
-        model = sage.fit(rows.where("part = 'train'"), use, int(m.params.get("epochs", 30)))
+        model = get_model(m.name).fit(rows.where("part = 'train'"), use, int(m.params.get("epochs", 30)))
         pred, info = sage.score(model, rows.where("part <> 'train'"), use), {}
     pred = cut(pred.select("unit", "time", "y", "p", "part"))
+    E.check_labels(pred.where("part = 'val'"))
     thr = E.choose_threshold(pred.where("part = 'val'")).first()["threshold"]
     return Fitted(pred.withColumn("threshold", F.lit(thr)), thr, time.time() - began, info, model, cols)
 

@@ -215,9 +215,6 @@ def cycle_counts_w7_to10(spark: SparkSession, d: str) -> DataFrame:
     return G.cycles(txn(spark, d), W, 10)
 
 
-_NODES = ", nodes AS (SELECT o_orderkey % 1000 AS node, 0 AS x, max(CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)) AS node_time FROM orders GROUP BY ALL)"
-
-
 @query("node_fold_guarded", TXN_SQL + f""", nodes AS (SELECT src AS node, CAST(1200 AS BIGINT) AS node_time FROM txn GROUP BY src UNION SELECT dst, CAST(1200 AS BIGINT) FROM txn GROUP BY dst),
 wi AS (SELECT * FROM {_counts_sql('dst', 'src')}), wo AS (SELECT * FROM {_counts_sql('src', 'dst')}),
 x AS (SELECT t.src, t.dst, t.edge_time, wi.fan AS in_fan, wi.degree AS in_degree, wo.fan AS out_fan, wo.degree AS out_degree FROM txn t JOIN wi ON wi.vertex = t.dst AND wi.edge_time = t.edge_time JOIN wo ON wo.vertex = t.src AND wo.edge_time = t.edge_time),
@@ -650,7 +647,7 @@ def streaming_daily_scores(spark: SparkSession, d: str) -> DataFrame:
     """Daily sums per user by the stream plan, run to the end of what there is."""
     from ..streaming.daily import daily_totals, run_available
 
-    return rnd(run_available(daily_totals, spark, f"{d}/events.parquet"), total=4)
+    return rnd(run_available(daily_totals, spark, f"{d}/events.parquet", ["day", "user_id"]), total=4)
 
 
 @query("streaming_causal_counts", """SELECT user_id, edge_time, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY edge_time) AS BIGINT) AS degree FROM

@@ -34,19 +34,23 @@ def daily_totals(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_available(plan: Callable[[DataFrame], DataFrame], spark: SparkSession, path: str) -> DataFrame:
-    """The plan over a stream of parquet files, run to the end of what there is; results go to the shared folder."""
+def run_available(plan: Callable[[DataFrame], DataFrame], spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The plan over a stream of parquet files, run to the end of what there is; one row per key, as it stood last.
+
+    A batch writes only the keys it changed, to a folder of its own in the shared folder, so no batch writes again what
+    others have written, and one that is run again after a loss replaces its own rows.
+    """
     out, state = shared_folder(spark, "stream-out"), shared_folder(spark, "stream-state")
     stream = stream_files(spark, path)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = plan(stream).writeStream.outputMode("complete").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
+    changed = plan(stream)
+    q = changed.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def score_days(stream: DataFrame, score: Callable[[DataFrame, int], None], state: str) -> object:
-    """Starts daily scoring: each micro-batch goes to score(batch, number), which writes its alerts and health."""
-    return stream.writeStream.outputMode("append").option("checkpointLocation", state).foreachBatch(score).trigger(availableNow=True).start()
+    if q.lastProgress is None:
+        return plan(spark.read.schema(stream.schema).parquet(path)).limit(0)
+    rows = spark.read.parquet(out)
+    rest = [c for c in changed.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
