@@ -110,19 +110,23 @@ def predictions(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 
 def comparable(spark: SparkSession, root: str, experiment: str, parent: str) -> DataFrame:
-    """(run, what, name, step, value as text) of a parent's children, without what differs from run to run: ids, times, the commit."""
+    """(run, what, name, step, value as text) of a parent's children, without what differs from run to run: ids, times, the commit.
+
+    Numbers count to nine digits, as sums of doubles depend on their order.
+    """
+    as_text = lambda v: F.coalesce(F.when(v.try_cast("double").isNotNull(), F.format_string("%.9g", v.try_cast("double"))), v.cast("string")).alias("value")
     children = child_runs(spark, root, experiment, parent).withColumn("run", F.concat_ws("/", *(F.col("tags")[t] for t in ("dataset", "regime", "model", "features")), F.col("seed").cast("string")))
     none = F.lit(None).cast("long").alias("step")
 
     def entries(what: str, leave: tuple[str, ...]) -> DataFrame:
-        return children.select("run", F.lit(what).alias("what"), F.explode(what).alias("name", "value")).where(~F.col("name").isin(*leave)).select("run", "what", "name", none, F.col("value").cast("string").alias("value"))
+        return children.select("run", F.lit(what).alias("what"), F.explode(what).alias("name", "value")).where(~F.col("name").isin(*leave)).select("run", "what", "name", none, as_text(F.col("value")))
 
     out = entries("tags", ("commit",)).unionByName(entries("params", ("fit_seconds",))).unionByName(entries("metrics", ("fit_seconds",)))
     try:
         steps = spark.read.schema(HISTORY).parquet(f"{root}/metric_history")
     except AnalysisException:
         return out
-    return out.unionByName(children.select("run", "run_id").join(steps, "run_id").select("run", F.lit("history").alias("what"), F.col("metric").alias("name"), "step", F.col("value").cast("string").alias("value")))
+    return out.unionByName(children.select("run", "run_id").join(steps, "run_id").select("run", F.lit("history").alias("what"), F.col("metric").alias("name"), "step", as_text(F.col("value"))))
 
 
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
