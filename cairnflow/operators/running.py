@@ -31,17 +31,15 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], fa
     df has one row per key and value of the order.
     """
     turn = F.desc if falling else F.asc
-    cut = df.withColumn("_c", range_of(F.col(order)))
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = own.orderBy(turn("_c")).rowsBetween(Window.unboundedPreceding, -1)
-    per = cut.groupBy(*keys, "_c").agg(*(F.sum(s).alias(s) for s in sums))  # a row a range
-    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_c").alias("_r"), *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums), *(F.sum(s).over(own).alias(f"{s}_all") for s in sums))
-    w = Window.partitionBy(*keys, "_c").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the key as one value, in which nulls are alike; rows are placed by it and their range once, for the window and for the join
+    cut = df.withColumn("_key", F.struct(*keys) if keys else F.lit(0)).withColumn("_c", range_of(F.col(order)))
+    before = Window.partitionBy("_key").orderBy(turn("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_key")
+    per = cut.groupBy("_key", "_c").agg(*(F.sum(s).alias(s) for s in sums))  # a row a range
+    per = per.select("_key", "_c", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums), *(F.sum(s).over(own).alias(f"{s}_all") for s in sums))
+    w = Window.partitionBy("_key", "_c").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = cut.select("*", *(F.sum(s).over(w).alias(f"_own_{s}") for s in sums))
-    same = F.col("_c") == F.col("_r")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(per, same).select(*df.columns, *((F.col(f"_own_{s}") + F.col(f"_before_{s}")).alias(f"{s}_run") for s in sums), *(f"{s}_all" for s in sums))
+    return rows.join(per, ["_key", "_c"]).select(*df.columns, *((F.col(f"_own_{s}") + F.col(f"_before_{s}")).alias(f"{s}_run") for s in sums), *(f"{s}_all" for s in sums))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
