@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .cycles import in_stretch
 
 BINS = (2, 4, 8, 16, 32)
 FAMILIES = ("fan", "degree", "scatter_gather", "lc_cycle")
@@ -140,38 +141,33 @@ def scatter_gather(edges: DataFrame, w: int) -> DataFrame:
     return both.groupBy("src", "dst", "edge_time").agg(*(F.count_if(F.col("bin") == k).alias(f"scatter_gather_bin{k}") for k in BINS))
 
 
-def _cycle_rows(edges: DataFrame, w: int, longest: int, each: bool) -> DataFrame:
-    """(a, b, t, n): cycles of n accounts through each distinct edge a -> b at t; one row each, or one per length.
+def _cycle_rows(edges: DataFrame, w: int, longest: int) -> DataFrame:
+    """(src, dst, edge_time, n_2, n_3, ...): for each distinct edge on a cycle, the simple cycles through it by how many accounts they have.
 
-    Paths grow edge by edge, as joins on the last account and time bucket; the work grows with the density to the power
-    of the length, so long bounds are for sparse graphs.
+    Edges are placed by stretches of two windows, each beside those of the window before it, and paths are walked inside a
+    stretch; so what is shuffled grows with the edges and not with the paths. A task holds the edges of one stretch; the
+    work still grows with the density to the power of the length, so long bounds are for sparse graphs.
     """
     if not 2 <= longest <= 10:
         raise ValueError("cycles have 2 to 10 accounts")
-    e = cut(edges.where("src <> dst").select("src", "dst", "edge_time").distinct())
-    step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("edge_time").alias("t"), F.floor(F.col("edge_time") / w).alias("_b"), F.col("dst").alias("_last"), F.array("dst").alias("_path"))
-    hop = _near(e, w, {"src": "_last", "dst": "_x", "edge_time": "_t1"})
-    out = None
-    for n in range(2, longest + 1):
-        nxt = step.join(hop, ["_last", "_b"]).where(_within(F.col("t"), F.col("_t1"), w)).drop("_t1", "_last")
-        closed = nxt.where("_x = a").select("a", "b", "t", "_path").distinct()
-        rows = (closed if each else closed.select("a", "b", "t").distinct()).select("a", "b", "t", F.lit(n).alias("n"))
-        out = rows if out is None else out.unionByName(rows)
-        step = nxt.where((F.col("_x") != F.col("a")) & ~F.array_contains("_path", F.col("_x"))).select("a", "b", "t", "_b", F.col("_x").alias("_last"), F.concat("_path", F.array("_x")).alias("_path")).distinct()
-    return out
+    at, after = F.floor(F.col("edge_time") / (2 * w)), F.floor((F.col("edge_time") + w) / (2 * w))
+    here = F.array(F.struct(at.alias("_b"), F.lit(True).alias("_own")), F.struct(after.alias("_b"), F.lit(False).alias("_own")))
+    e = edges.where("src <> dst and edge_time is not null").select("src", "dst", "edge_time", F.inline(F.when(at == after, F.slice(here, 1, 1)).otherwise(here)))
+    e = e.repartition("_b").dropDuplicates()  # placed once, for both
+    schema = ", ".join(f"`{c}` {k}" for c, k in e.select("src", "dst", "edge_time").dtypes) + "".join(f", n_{k} long" for k in range(2, longest + 1))
+    return e.groupBy("_b").applyInArrow(in_stretch(w, longest), schema)
 
 
 def cycles(edges: DataFrame, w: int, longest: int = 4) -> DataFrame:
     """Per distinct edge: simple cycles of 2..longest accounts through it, all edges in the window, by length bin."""
-    found = _cycle_rows(edges, w, longest, True)
     bins = [b for i, b in enumerate(BINS) if i == 0 or BINS[i - 1] < longest]
-    return found.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("edge_time")).agg(*(F.count_if(bin_of(F.col("n")) == k).alias(f"lc_cycle_bin{k}") for k in bins))
+    sizes = {b: [n for n in range(2, longest + 1) if (i == 0 or n > BINS[i - 1]) and n <= b] for i, b in enumerate(bins)}
+    return _cycle_rows(edges, w, longest).select("src", "dst", "edge_time", *(sum((F.col(f"n_{n}") for n in ns), F.lit(0).cast("long")).alias(f"lc_cycle_bin{b}") for b, ns in sizes.items()))
 
 
 def cycle_lengths(edges: DataFrame, w: int, longest: int = 4) -> DataFrame:
     """Per distinct edge on a cycle: whether it closes one of each length (1 or 0)."""
-    found = _cycle_rows(edges, w, longest, False)
-    return found.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("edge_time")).agg(*(F.count_if(F.col("n") == k).alias(f"closes_{k}") for k in range(2, longest + 1)))
+    return _cycle_rows(edges, w, longest).select("src", "dst", "edge_time", *((F.col(f"n_{n}") > 0).cast("long").alias(f"closes_{n}") for n in range(2, longest + 1)))
 
 
 def node_fold(nodes: DataFrame, per_edge: DataFrame, maxed: dict[str, dict[str, str] | list[str]], summed: list[str]) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairnflow.operators import graph as G
@@ -88,6 +89,29 @@ def test_cycle_queries_to_ten_on_tables(spark, sf_dir):
     assert got == {r: sum(k.values()) for r, k in want.items()}
 
 
+def test_cycles_shuffle_edges_and_not_paths(spark):
+    import random
+    import re
+
+    from cairnflow.operators.cycles import count_cycles
+
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(9), rnd.randrange(9), rnd.randrange(30)) for _ in range(120)]
+    e = edges(spark, rows + rows[:20])  # edges that stand there twice count once
+    plan = G.cycles(e, 7, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall("Exchange ", plan)) == 1, plan
+    want = brute_cycles(rows, 7, 10)
+    got = {(r["src"], r["dst"], r["edge_time"]): sum(r[f"lc_cycle_bin{b}"] for b in (2, 4, 8, 16)) for r in G.cycles(e, 7, 10).collect()}
+    assert got == {r: sum(k.values()) for r, k in want.items()}
+    distinct = sorted({r for r in rows if r[0] != r[1]})
+    src, dst, time = (np.array(c) for c in zip(*distinct))
+    for block in (8, 1 << 18):  # blocks that are split, times finer than slices of a window, windows of fractions
+        for w, scale in ((7, 1), (40, 1), (2, .25)):
+            want = brute_cycles([(a, b, t * scale) for a, b, t in distinct], w, 6)
+            got = count_cycles(src, dst, time * scale, np.ones(len(src), dtype=bool), w, 6, block)
+            assert {r: {n + 2: k for n, k in enumerate(c) if k} for r, c in zip(zip(src, dst, time * scale), got.tolist()) if any(c)} == want
+
+
 def test_window_and_cumulative(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)])
     assert at(G.windowed_counts(e, "dst", "src", 1), edge_time=2)[0]["fan"] == 2
