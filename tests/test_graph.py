@@ -112,6 +112,17 @@ def test_cycles_shuffle_edges_and_not_paths(spark):
             assert {r: {n + 2: k for n, k in enumerate(c) if k} for r, c in zip(zip(src, dst, time * scale), got.tolist()) if any(c)} == want
 
 
+def test_cycle_lengths_shuffle_edges_and_not_paths(spark):
+    import re
+
+    rows = [(i, (i + 1) % 10, i) for i in range(10)] + [(i, (i + 3) % 10, i) for i in range(10)]
+    got = G.cycle_lengths(edges(spark, rows), 10, 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall("Exchange ", plan)) == 1, plan
+    want = brute_cycles(rows, 10, 10)
+    assert {(r["src"], r["dst"], r["edge_time"]): {n for n in range(2, 11) if r[f"closes_{n}"]} for r in got.collect()} == {r: set(k) for r, k in want.items()}
+
+
 def test_window_and_cumulative(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)])
     assert at(G.windowed_counts(e, "dst", "src", 1), edge_time=2)[0]["fan"] == 2
