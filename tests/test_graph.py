@@ -123,6 +123,31 @@ def test_cycle_lengths_shuffle_edges_and_not_paths(spark):
     assert {(r["src"], r["dst"], r["edge_time"]): {n for n in range(2, 11) if r[f"closes_{n}"]} for r in got.collect()} == {r: set(k) for r, k in want.items()}
 
 
+def test_model_rows_are_written_once(spark, sf_dir):
+    from cairnflow.plans import catalog
+    from cairnflow.plans.txn import KEY, txn
+
+    t = txn(spark, sf_dir)
+    a, b = (G.cumulative_counts(t, v, o).toDF(v, "edge_time", f"{v}_fan", f"{v}_degree", "_ratio").drop("_ratio") for v, o in (("src", "dst"), ("dst", "src")))
+    want = t.where("y >= 0").join(a, ["src", "edge_time"]).join(b, ["dst", "edge_time"])
+    want = want.select(*(F.when(F.col("batch_id") >= 38, F.col(k)).alias(k) if k in ("l_orderkey", "l_linenumber", "l_partkey") else F.col(k) for k in KEY), "batch_id", "y", *catalog.MODEL_FEATURES)
+    got = catalog.model_rows(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Window")), plan  # else every pass of a model makes and shuffles them again
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_cumulative_by_windows_with_nulls(spark):
+    import random
+
+    rnd = random.Random(6)
+    some = lambda n: rnd.choice([None, *range(n)])
+    e = edges(spark, [(rnd.randrange(5), some(4), some(6)) for _ in range(150)])
+    want = e.join(G.cumulative_counts(e, "src", "dst").toDF("src", "edge_time", "s_fan", "s_degree", "_ratio").drop("_ratio"), ["src", "edge_time"])
+    got = G.with_cumulative(e, "src", "dst", "s").where("edge_time is not null")
+    assert {r["edge"]: (r["s_fan"], r["s_degree"]) for r in got.collect()} == {r["edge"]: (r["s_fan"], r["s_degree"]) for r in want.collect()}
+
+
 def test_window_and_cumulative(spark):
     e = edges(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)])
     assert at(G.windowed_counts(e, "dst", "src", 1), edge_time=2)[0]["fan"] == 2
