@@ -225,3 +225,13 @@ def test_detectors_refuse_what_cannot_be_compared(spark):
     for cols, ref in (([], [1]), (["s"], [1]), (["none"], [1]), (["a"], [3]), (["a"], [1, 2])):
         with pytest.raises(ValueError):
             D.check_inputs(u, cols, ref)
+
+
+@pytest.mark.parametrize("name", ["tree_contributions"])
+def test_tree_queries_read_a_written_table(spark, sf_dir, name):
+    import __spark_entry__ as entry
+
+    got = entry.queries()[name](spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join")), plan  # else scoring shuffles the rows once more
+    assert got.where("l_orderkey is null or l_linenumber is null or l_partkey is null").count() == 0 < got.count()
