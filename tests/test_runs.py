@@ -227,7 +227,7 @@ def test_detectors_refuse_what_cannot_be_compared(spark):
             D.check_inputs(u, cols, ref)
 
 
-@pytest.mark.parametrize("name", ["tree_contributions"])
+@pytest.mark.parametrize("name", ["tree_contributions", "gbt_scores"])
 def test_tree_queries_read_a_written_table(spark, sf_dir, name):
     import __spark_entry__ as entry
 
