@@ -235,3 +235,32 @@ def test_tree_queries_read_a_written_table(spark, sf_dir, name):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Join")), plan  # else scoring shuffles the rows once more
     assert got.where("l_orderkey is null or l_linenumber is null or l_partkey is null").count() == 0 < got.count()
+
+
+def test_trees_are_those_of_spark_ml(spark):
+    import pandas as pd
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(0)
+    few = pd.DataFrame({"unit": range(2_000), "a": rng.integers(0, 30, 2_000) / 4, "b": rng.integers(0, 5, 2_000) * 1.0})
+    d = spark.createDataFrame(few.assign(y=(rng.random(2_000) < .1 + few.a * (few.b > 2) / 16).astype(int)))
+    m = trees.fit(d, d, ["a", "b"], n_trees=12)  # more than are walked before margins are written anew
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(d.withColumn("w", F.when(F.col("y") == 1, m.info["weight"]).otherwise(1.0)))
+    want = GBTClassifier(labelCol="y", featuresCol="x", weightCol="w", maxIter=len(m.trees), maxDepth=3, stepSize=.3).fit(vec).transform(vec).orderBy("unit").select(vector_to_array("probability")[1]).toPandas()
+    assert len(m.trees) > 10 and np.allclose(m.transform(d).orderBy("unit").select("p").toPandas(), want, rtol=0, atol=1e-12)
+
+
+def test_cuts_of_trees_come_from_all_rows(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    v = rng.permutation(12_800) * 1.0  # more rows than Spark ML draws its cuts from
+    many = spark.createDataFrame(pd.DataFrame({"a": v, "y": (rng.random(12_800) < .5).astype(int)}))
+    one, other = (trees.fit(many, many, ["a"], n_trees=2, seed=s) for s in (0, 1))
+    assert one.to_json() == other.to_json()
+    y = many.orderBy("a").select("y").toPandas().y.to_numpy()
+    share = np.cumsum(np.where(y == 1, one.info["weight"], 1.0)) / (2 * (y == 0).sum())
+    exact = {float(np.searchsorted(share, k / 32 - 1e-12)) for k in range(1, 32)}
+    assert {t for tree in one.trees for f, t in zip(tree.feature, tree.threshold) if f >= 0} <= exact
