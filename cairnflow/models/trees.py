@@ -1,7 +1,8 @@
 """Boosted trees over binned rows: growing, weighting, choice of the number of trees by validation AP, and exact tree contributions.
 
-Training rows are written once as blocks of bins, a byte a value, and each level of a tree adds up one pass over them. Nothing
-is cached by executors or drawn at random; the driver holds the sums of a level, a histogram a task.
+Training rows are written once as blocks of bins, a byte a value (few rows are held by the driver instead), and each level of a
+tree adds up one pass over them. Nothing is cached by executors or drawn at random; the driver holds the sums of a level, a
+histogram a task.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from ..session import forget, written
 #: The most trees of a model, how long the validation AP may stand still before growing stops, and how many are grown at first.
 CEILING, PATIENCE, FIRST = 1_000, 50, 64
 
-#: Into how many bins a feature is cut, and after how many trees the rows' margins are written anew.
-BINS, REBASE = 32, 10
+#: Into how many bins a feature is cut, after how many trees the rows' margins are written anew, and up to how many bytes blocks
+#: are held by the driver, where a pass needs no job.
+BINS, REBASE, HELD = 32, 10, 1 << 24
 
 
 @dataclass
@@ -170,9 +172,12 @@ def _by_bins(tree: Tree, cuts: list[np.ndarray], x: np.ndarray, at_leaf: np.ndar
 
 @dataclass
 class _Growing:
-    """Training rows as a written table of blocks (y, x: bins, features by rows, f: margins after the first `done` trees), and the trees so far."""
+    """Training rows as blocks (y, x: bins, features by rows, f: margins after the first `done` trees), and the trees so far.
 
-    table: DataFrame
+    The blocks are a written table, or held by the driver if they are few.
+    """
+
+    table: DataFrame | list[pa.RecordBatch]
     cuts: list[np.ndarray]
     weight: float
     step: float
@@ -181,7 +186,7 @@ class _Growing:
     done: int = 0
 
     @staticmethod
-    def start(rows: DataFrame, features: list[str], weight: float, step: float) -> _Growing:
+    def start(rows: DataFrame, n: int, features: list[str], weight: float, step: float) -> _Growing:
         cuts = cut_points(rows, features, weight)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ class _Growing:
                 yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in (cols[0].astype(np.int8).tobytes(), x.tobytes(), np.zeros(b.num_rows).tobytes())], ["y", "x", "f"])
 
         blocks = rows.select(F.col("y").cast("double").alias("y"), *(_number(f).alias(f"x{i}") for i, f in enumerate(features))).mapInArrow(run, "y binary, x binary, f binary")
-        return _Growing(written(blocks), cuts, weight, step)
+        return _Growing(blocks.toArrow().to_batches() if n * (len(features) + 9) <= HELD else written(blocks), cuts, weight, step)
 
     def _reader(self):
         """For batches of the table: (label, bins, margin after all trees), a block at a time."""
@@ -232,8 +237,9 @@ class _Growing:
             yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["s"])
 
         total = np.zeros((2, k, (m + 1) * BINS))
-        for part in self.table.mapInArrow(run, "s binary").collect():  # a row a task
-            total += np.frombuffer(part["s"]).reshape(total.shape)
+        parts = [b["s"][0].as_py() for b in run(iter(self.table))] if isinstance(self.table, list) else [r["s"] for r in self.table.mapInArrow(run, "s binary").collect()]  # one a task
+        for part in parts:
+            total += np.frombuffer(part).reshape(total.shape)
         return total.reshape(2, k, m + 1, BINS)[:, :, :m].transpose(2, 1, 3, 0)
 
     def _split(self, sums: np.ndarray) -> tuple[int, int] | None:
@@ -285,8 +291,11 @@ class _Growing:
             for y, x, f in read(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (y, x, f)], ["y", "x", "f"])
 
-        old, self.table, self.done = self.table, written(self.table.mapInArrow(run, "y binary, x binary, f binary")), len(self.trees)
-        forget(old)
+        old = self.table
+        self.table = list(run(iter(old))) if isinstance(old, list) else written(old.mapInArrow(run, "y binary, x binary, f binary"))
+        self.done = len(self.trees)
+        if not isinstance(old, list):
+            forget(old)
 
 
 def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = CEILING, depth: int = 3, step: float = 0.3, seed: int = 0, patience: int = PATIENCE) -> BoostedTrees:
@@ -301,7 +310,7 @@ def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = CE
     if counts["bad"] or not counts["pos"] or not counts["neg"]:
         raise ValueError(f"training rows must be labelled 0 and 1: {counts}")
     weight = counts["neg"] / counts["pos"]
-    state = _Growing.start(train, features, weight, step)
+    state = _Growing.start(train, counts["pos"] + counts["neg"], features, weight, step)
     grown = min(n_trees, FIRST)
     try:
         while True:
@@ -310,7 +319,8 @@ def fit(train: DataFrame, val: DataFrame, features: list[str], n_trees: int = CE
                 return got
             grown = min(n_trees, 2 * grown)
     finally:
-        forget(state.table)
+        if not isinstance(state.table, list):
+            forget(state.table)
 
 
 def _grow(state: _Growing, val: DataFrame, features: list[str], n_trees: int, depth: int, patience: int, weight: float) -> tuple[BoostedTrees, bool]:

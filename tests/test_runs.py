@@ -237,8 +237,11 @@ def test_tree_queries_read_a_written_table(spark, sf_dir, name):
     assert got.where("l_orderkey is null or l_linenumber is null or l_partkey is null").count() == 0 < got.count()
 
 
-def test_trees_are_those_of_spark_ml(spark):
+@pytest.mark.parametrize("held", [1 << 24, 0])  # by the driver, or as a table
+def test_trees_are_those_of_spark_ml(spark, monkeypatch, held):
     import pandas as pd
+
+    monkeypatch.setattr(trees, "HELD", held, raising=False)
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
